@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, rules
+from . import bpe, chat, exact_dedup, mixing, rules, simhash
 from .common import read
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "<|im_end|><|im_start|>assistant ok"
@@ -28,6 +34,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -36,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat, op6_exact_dedup, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_chat, op6_exact_dedup, op8_simhash, op9_quality_rules, op10_mixing)}
 
 SQL = {"op3_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
 SQL["op6_exact_dedup"] = r"""
