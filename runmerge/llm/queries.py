@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, quality, rules, simhash, toxicity
+from . import bpe, chat, exact_dedup, licenses, mixing, quality, rules, simhash, toxicity
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -58,9 +62,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_chat, op5_toxicity, op6_exact_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_chat, op4_licenses, op5_toxicity, op6_exact_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_mixing)}
 
-SQL = {"op3_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+SQL = {"op3_chat": chat.ORACLE, "op4_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE}
 SQL["op6_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
