@@ -73,7 +73,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = row_ids(docs.select(F.col(id_col).alias("doc_id"), lower.alias("text")), "row").withColumn("ws", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     starts = F.filter(F.sequence(F.lit(1), F.size("ws")), lambda i: F.element_at("ws", i).isin(*first_words))
     starts = F.when(F.size("ws") > 0, starts).otherwise(F.array().cast("array<int>"))
-    at = F.flatten(F.array(*(F.transform(F.filter(starts, lambda i, n=n: i + n - 1 <= F.size("ws")), lambda i, n=n: F.struct((i - 1).alias("i"), F.array_join(F.slice("ws", i, n), " ").alias("gram"))) for n in sizes)))
+
+    def grams_of(n: int):
+        whole_ones = F.filter(starts, lambda i: i + n - 1 <= F.size("ws"))
+        return F.transform(whole_ones, lambda i: F.struct((i - 1).alias("i"), F.array_join(F.slice("ws", i, n), " ").alias("gram")))
+
+    at = F.flatten(F.array(*map(grams_of, sizes)))
     hits = (
         rows.select("row", "doc_id", F.size("ws").cast("bigint").alias("n_words"), F.explode_outer(at).alias("at"))
         .select("row", "doc_id", "n_words", F.col("at.i").alias("i"), F.col("at.gram").alias("gram"), F.xxhash64("at.gram").alias("hash"))
