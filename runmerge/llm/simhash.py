@@ -218,3 +218,90 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(label, F.col("fp") == F.col("k")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True))
     )
+
+
+SKETCH = 128  # least hashes of a text's shingles that estimate a similarity; its standard error is at most 0.045
+WIDE = 14  # bits within which nearly all texts of similarity 0.8 stay
+
+
+def shingle_sketch(text: bytes, width: int) -> tuple[int, int, bytes]:
+    """SimHash, number of distinct shingles, and their ``SKETCH`` least hashes (upper 32 bits, in order)."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0, b""
+    n = max(1, len(words) - width + 1)
+    hashes, counts = [], np.zeros(64, np.int64)
+    for at in range(0, n, BLOCK):
+        part = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(at, min(n, at + BLOCK))], np.uint64)
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        hashes.append(part)
+    distinct = np.unique(np.concatenate(hashes))
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0]), len(distinct), (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two texts' shingles, estimated by the least hashes of their union (exact for few shingles)."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    union = np.union1d(x, y)[:SKETCH]
+    return 1.0 if not len(union) else float((np.isin(union, x) & np.isin(union, y)).mean())
+
+
+def link_near(fps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], home: np.ndarray, similarity: float, radius: int) -> Forest:
+    """Joins texts, one of each two at home, that are alike; rows must come in the order of ``sizes``."""
+    fps, forest = fps.view(np.uint64), Forest(len(fps))
+    own = np.flatnonzero(home)
+    for at in range(0, len(own), 64):
+        block = own[at : at + 64]
+        lo, hi = np.searchsorted(sizes, [sizes[block[0]] * similarity, sizes[block[-1]] / similarity + 1e-9])
+        near = np.bitwise_count(fps[block][:, None] ^ fps[None, lo:hi]) <= radius
+        for k in np.flatnonzero(near.sum(axis=1) > 1):
+            me, others = block[k], lo + np.flatnonzero(near[k])
+            while len(others := others[forest.roots(others) != forest.roots(block[k : k + 1])[0]]):
+                ratio = min(sizes[me], sizes[others[0]]) / max(sizes[me], sizes[others[0]], 1)
+                if (ratio >= similarity or sizes[me] == sizes[others[0]]) and resemblance(sketches[me], sketches[others[0]]) >= similarity:
+                    forest.join(np.array([me, others[0]]))
+                others = others[1:]
+    return forest
+
+
+def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = WIDE, shard: int = 8192) -> DataFrame:
+    """``u, v``: for each text that is a near copy but its group's first by key, its key and that first one.
+
+    Near copies have ``similarity`` or more of their shingles of ``width`` words in common and fingerprints within
+    ``radius`` bits; groups are closed under links. That radius is far too wide for a vantage point among the
+    fingerprints to prune anything, as distances of unlike texts keep within a few bits of 32; the vantage point is
+    the empty text, in the metric of log sizes, where the bound for a similarity s is log(1 / s). Shells are that
+    wide, each text is at home in one and visits the next. A shell with more than ``shard`` homes is dealt to
+    several tasks. Keys must be unique and not null. A null text counts as empty; empty texts are copies of one another.
+    """
+    rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), F.col(key_col).cast("bigint").alias("key"))
+    shell = float(-np.log(similarity))
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shingle_sketch(t.as_py() or b"", width) for t in batch.column(0)]
+            fps, sizes = pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())
+            shells = pa.array([int(np.log(max(1, g[1])) / shell) for g in got], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), shells, fps, sizes, pa.array([g[2] for g in got], pa.binary())], ["key", "shell", "fp", "size", "sketch"])
+
+    sketches = cut(rows.mapInArrow(sketch, "key bigint, shell int, fp bigint, size bigint, sketch binary"))
+    # a row for each shell: as many as the logarithm of the longest text
+    counts = {r["shell"]: r["n"] for r in sketches.groupBy("shell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, ceil(n / shard)))) if counts else F.create_map(F.lit(0), F.lit(1))
+    own = sketches.withColumn("home", F.lit(True)).withColumn("part", F.pmod(F.xxhash64("key"), F.element_at(parts, F.col("shell"))).cast("int"))
+    inside = sketches.withColumn("home", F.lit(False)).withColumn("all", F.element_at(parts, F.col("shell"))).filter("all > 1")
+    inside = inside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).filter(F.col("part") != F.pmod(F.xxhash64("key"), F.col("all"))).drop("all")
+    after = sketches.withColumn("home", F.lit(False)).withColumn("shell", F.col("shell") + 1).withColumn("all", F.element_at(parts, F.col("shell"))).filter("all >= 1")
+    after = after.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).drop("all")
+
+    def links(group: pa.Table) -> pa.Table:
+        group = group.sort_by("size")
+        keys = group.column("key").to_numpy()
+        forest = link_near(group.column("fp").to_numpy(), group.column("size").to_numpy(), group.column("sketch").to_pylist(), group.column("home").to_numpy(), similarity, radius)
+        roots = forest.roots(np.arange(len(keys)))
+        linked = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
+
+    columns = ["shell", "part", "key", "fp", "size", "sketch", "home"]
+    dealt = own.select(columns).unionByName(inside.select(columns)).unionByName(after.select(columns))
+    return components(dealt.groupBy("shell", "part").applyInArrow(links, "u bigint, v bigint"))
