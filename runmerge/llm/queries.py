@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, licenses, mixing, quality, rules, simhash, toxicity
+from . import bpe, chat, exact_dedup, licenses, mixing, quality, rules, simhash, suffix_dedup, toxicity
 from .common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -62,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_chat, op4_licenses, op5_toxicity, op6_exact_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_chat, op4_licenses, op5_toxicity, op6_exact_dedup, op7_quality, op8_simhash, op9_quality_rules, op10_mixing)}
 
 SQL = {"op3_chat": chat.ORACLE, "op4_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE}
 SQL["op6_exact_dedup"] = r"""
