@@ -81,5 +81,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (
         marked.filter(settled)
         .select(*out(F.col("w_keep"), F.col("w_size"), F.lit(False)))
-        .unionByName(rest.select(*out(F.col("keep"), F.coalesce("w_size", "size"), F.col("rank") == 1)))
+        .union(rest.select(*out(F.col("keep"), F.coalesce("w_size", "size"), F.col("rank") == 1)))
     )
