@@ -1,6 +1,7 @@
 """Toxicity by a lexicon that misspelled terms cannot dodge, with context windows.
 
-The lexicon has seed terms and terms learned from labels. Its trie is intersected with the Levenshtein automaton
+The lexicon has seed terms and terms learned from labels; edits are allowed in seed terms, as invented or rare
+words that labels teach have ordinary words all around. Its trie is intersected with the Levenshtein automaton
 of distance one: a state is the set of trie nodes and edits that a word's prefix can have reached, transitions
 are worked out once and kept, so a word costs a look-up a letter and mostly ends after two or three. A hit is
 weighed by the words around it: quotation marks and reporting words make it a mention, address makes it abuse.
@@ -30,15 +31,17 @@ ADDRESS = frozenset("you your yours yourself are this these such".split())
 QUOTES = "\"“”„«»‘’"
 #: Bounds: labelled rows, lexicon terms, look-alikes that are ordinary words, states kept, words kept.
 SAMPLE, TERMS, ORDINARY, STATES, CACHE = 20_000, 4096, 4096, 50_000, 300_000
+TELLING = 8.0  # evidence that makes a word a term, about as four toxic texts of four
 LEAST_LENGTH = 5  # of terms that are matched with an edit
 SPAN = 5  # words on each side of a hit
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W_]+")
 
 
 class Lexicon:
-    """Finds the term that a word is, or is one edit away from."""
+    """Finds the term that a word is, or that of ``misspelt`` which it is one edit away from."""
 
-    def __init__(self, terms: Iterable[str], ordinary: Iterable[str] = ()):
+    def __init__(self, terms: Iterable[str], ordinary: Iterable[str] = (), misspelt: Iterable[str] = SEEDS):
+        self.misspelt = frozenset(t for t in misspelt if len(t) >= LEAST_LENGTH)
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.fuzzy = [False]  # whether a term that takes an edit is at or below the node
@@ -53,7 +56,7 @@ class Lexicon:
                     self.fuzzy.append(False)
                 path.append(node)
             self.term[node] = t
-            for n in path if len(t) >= LEAST_LENGTH else ():
+            for n in path if t in self.misspelt else ():
                 self.fuzzy[n] = True
         self.ordinary = frozenset(ordinary)
         self.states: dict[frozenset, dict] = {}
@@ -90,7 +93,7 @@ class Lexicon:
             state = state.get(letter) or self._step(state, letter)
             if not state[None]:
                 return None
-        found = [(e, self.term[n]) for n, e in state[None] if self.term[n] and (not e or len(self.term[n]) >= LEAST_LENGTH)]
+        found = [(e, self.term[n]) for n, e in state[None] if self.term[n] and (not e or self.term[n] in self.misspelt)]
         return (lambda best: (best[1], best[0]))(min(found)) if found else None
 
     def match(self, word: str) -> tuple[str, int] | None:
@@ -122,7 +125,8 @@ class ToxicityModel:
         return min(w, 6.0) if a >= 1.5 and w > 1 else 0.0
 
 
-N_FEATURES = 6
+N_FEATURES = 5
+MISSPELT = 0.7  # what a misspelt term weighs against the term
 
 
 def _context(tokens: list[str], spans: list[tuple[int, int]], text: str, i: int) -> float:
@@ -136,7 +140,7 @@ def _context(tokens: list[str], spans: list[tuple[int, int]], text: str, i: int)
 
 
 def features(text: str, lexicon: Lexicon, model: ToxicityModel, y: int | None = None) -> list[float]:
-    """Evidence of exact terms, of misspelled ones, of mentions; the strongest term; hits by length; length.
+    """Evidence of terms, of mentions; the strongest term; hits by length; length.
 
     ``y`` is the label of a text that was counted for the lexicon; it is then left out of the counts.
     """
@@ -148,21 +152,20 @@ def features(text: str, lexicon: Lexicon, model: ToxicityModel, y: int | None =
     spans = [m.span() for m in WORDS.finditer(text)]
     less = (0, 0) if y is None else (y, 1 - y)
     abuse: dict[str, float] = {}
-    misspelt = mentions = n = 0.0
+    mentions = n = 0.0
     for i, (term, distance) in hits:
         w = model.term_weight(term, less if not distance else (0, 0))
         if not w:
             continue
         c = _context(tokens, spans, text, i)
-        if distance:
-            misspelt += w * c
-        elif c < 0.3:
+        w *= MISSPELT if distance else 1
+        if c < 0.3:
             mentions += w
         else:
             abuse[term] = max(abuse.get(term, 0.0), w * c)
             n += 1
     best = sorted(abuse.values(), reverse=True)[:4]
-    return [sum(best) / 5, min(misspelt, 20.0) / 5, min(mentions, 20.0) / 5, (best or [0.0])[0] / 5, math.log1p(100 * n / len(tokens)), math.log1p(len(tokens))]
+    return [sum(best) / 5, min(mentions, 20.0) / 5, (best or [0.0])[0] / 5, math.log1p(100 * n / len(tokens)), math.log1p(len(tokens))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -205,14 +208,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = rows.agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("a"), F.coalesce(F.sum(1 - F.col("_y")), F.lit(0)).alias("b")).first()
     words = cut(_words_of(rows))
     odds = ((F.col("a") + 0.2) / (total["a"] + 1)) / ((F.col("b") + 0.2) / (total["b"] + 1))
-    terms = words.filter((F.col("a") >= 2) & (odds > math.e**1.2) & (F.length("word") > 2)).withColumn("s", F.col("a") * F.log(odds)).orderBy(F.desc("s"), "word").limit(TERMS).collect()
+    # how unlikely so many toxic texts are among those with the word, if it told nothing (minus the log, at most)
+    share, base = F.col("a") / (F.col("a") + F.col("b")), total["a"] / max(1, total["a"] + total["b"])
+    told = F.col("a") * F.log(share / max(base, 1e-9)) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / max(1 - base, 1e-9))).otherwise(0.0)
+    terms = words.filter((F.col("a") >= 2) & (odds > 2) & (F.length("word") > 2)).withColumn("s", told).filter(F.col("s") >= TELLING).orderBy(F.desc("s"), "word").limit(TERMS).collect()
     counts = {r["word"]: (float(r["a"]), float(r["b"])) for r in terms}
     for t in SEEDS:
         a, b = counts.get(t, (0.0, 0.0))
         counts[t] = (a + 3.0, b)
     model = ToxicityModel(counts, (float(total["a"]) + 3, float(total["b"]) + 3))
     if not (total["a"] and total["b"]):
-        model.weights = [4.0, 2.0, 0.0, 2.0, 0.5, 0.0, -4.0]
+        model.weights = [4.0, 0.0, 2.0, 0.5, 0.0, -4.0]
         return model
     lexicon = Lexicon(counts)
 

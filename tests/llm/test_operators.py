@@ -160,7 +160,7 @@ def near(a, b):
 
 def test_levenshtein_automaton_against_all_terms():
     rng, terms = random.Random(2), ["idiot", "moron", "scum", "losers", "loser", "abcde", "bbbbb"]
-    lexicon = toxicity.Lexicon(terms, ordinary=["moren"])
+    lexicon = toxicity.Lexicon(terms, ordinary=["moren"], misspelt=terms)
     words = [*terms, "moren", "mor0n", "lossers", "skum", ""] + ["".join(rng.choice("abcdelmorsx") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
     words += [t[:i] + c + t[i + k :] for t in terms for i in range(len(t)) for k in (0, 1) for c in ("", "b", "z")]
     for w in words:
@@ -171,7 +171,7 @@ def test_levenshtein_automaton_against_all_terms():
 
 
 def test_quotation_counts_less_than_abuse(spark):
-    model = toxicity.ToxicityModel({t: (10.0, 0.0) for t in toxicity.SEEDS}, (20.0, 200.0), [], [4.0, 2.0, 0.0, 2.0, 0.5, 0.0, -4.0])
+    model = toxicity.ToxicityModel({t: (10.0, 0.0) for t in toxicity.SEEDS}, (20.0, 200.0), [], [4.0, 0.0, 2.0, 0.5, 0.0, -4.0])
     texts = ["you are an idiot and a moron, pathetic", "you are an idi0t, a mooron", 'the report quotes "idiot" as a word', "a fine day for all of us", None]
     scores = [r["score"] for r in toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), model).orderBy("doc_id").collect()]
     assert scores[0] > 0.9 > scores[2] and scores[1] > scores[3] and scores[2] < 0.5 and scores[3] == scores[4] < 0.1
