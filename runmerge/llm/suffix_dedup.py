@@ -222,8 +222,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(rows_, pa.int64()), pa.array(at_, pa.int32()), pa.array(anchor_, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["row", "at", "anchor", "left", "right"])
                     rows_, at_, anchor_, left, right = [], [], [], [], []
 
-    # one shuffle of the texts serves this join and the last one
-    joined = rows.join(places, "row").select("row", "text", "places")
+    # with the same columns in all, one shuffle of the texts serves both uses of this join and the last one
+    joined = rows.join(places, "row").select("row", "doc_id", "text", "places")
     seen = joined.mapInArrow(surround, "row bigint, at int, anchor bigint, left binary, right binary")
     identity = [F.xxhash64("anchor", "left", F.lit(0), "right").alias("id1"), F.xxhash64("right", F.lit(1), "left", "anchor").alias("id2")]
     seeds = seen.groupBy("anchor", "left", "right").agg(F.count(F.lit(1)).alias("n")).repartition("anchor").sortWithinPartitions("anchor", "right")
