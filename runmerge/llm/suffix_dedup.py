@@ -13,9 +13,10 @@ more in common are repeats. The queue spills to disk; equal surroundings meet as
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ LENGTH = 400
 WINDOW = 96  # windows of consecutive K-byte strings in which one is an anchor; K = length - WINDOW + 1
 BATCH = 1 << 20  # bytes of text that are searched for anchors at a time
 SMALL = 20_000  # seeds that are induced together
+MET = 50_000  # different surroundings that a task counts before it passes them on
 LARGE = 1_000_000  # seeds of one anchor from which the queue is on disk
 
 
@@ -206,27 +208,44 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     places = marks.join(repeated, "anchor").groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("places"))
 
+    def contexts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+        """Row, place, anchor and what stands before and after it, of each anchor in a batch of joined rows."""
+        for row, text, found in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            text, places = text.as_py(), found.values
+            for at, anchor in zip(places.field("at").to_pylist(), places.field("anchor").to_pylist(), strict=True):
+                yield row, at, anchor, text[max(0, at - width) : at], text[at + k : at + length]
+
     def surround(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows_, at_, anchor_, left, right = [], [], [], [], []
-            for i in range(batch.num_rows):
-                text, row = batch.column("text")[i].as_py(), batch.column("row")[i].as_py()
-                places = batch.column("places")[i].values
-                for at, anchor in zip(places.field("at").to_pylist(), places.field("anchor").to_pylist(), strict=True):
-                    rows_.append(row)
-                    at_.append(at)
-                    anchor_.append(anchor)
-                    left.append(text[max(0, at - width) : at])
-                    right.append(text[at + k : at + length])
-                if len(rows_) >= 20_000 or (rows_ and i == batch.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows_, pa.int64()), pa.array(at_, pa.int32()), pa.array(anchor_, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["row", "at", "anchor", "left", "right"])
-                    rows_, at_, anchor_, left, right = [], [], [], [], []
+            found = contexts(batch)
+            while some := list(islice(found, 20_000)):
+                rows_, at, anchor, left, right = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows_, pa.int64()), pa.array(at, pa.int32()), pa.array(anchor, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["row", "at", "anchor", "left", "right"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Surroundings and how often they were met, so that frequent ones leave a task as few rows."""
+        met: Counter = Counter()
+
+        def rows_of() -> pa.RecordBatch:
+            anchor, left, right = zip(*met, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(list(met.values()), pa.int64())], ["anchor", "left", "right", "n"])
+
+        for batch in batches:
+            for _, _, anchor, left, right in contexts(batch):
+                met[anchor, left, right] += 1
+                if len(met) >= MET:
+                    yield rows_of()
+                    met.clear()
+        if met:
+            yield rows_of()
 
     # with the same columns in all, one shuffle of the texts serves both uses of this join and the last one
     joined = rows.join(places, "row").select("row", "doc_id", "text", "places")
     seen = joined.mapInArrow(surround, "row bigint, at int, anchor bigint, left binary, right binary")
     identity = [F.xxhash64("anchor", "left", F.lit(0), "right").alias("id1"), F.xxhash64("right", F.lit(1), "left", "anchor").alias("id2")]
-    seeds = seen.groupBy("anchor", "left", "right").agg(F.count(F.lit(1)).alias("n")).repartition("anchor").sortWithinPartitions("anchor", "right")
+    # one shuffle by anchor serves the sum over equal surroundings and the sort
+    counted = joined.mapInArrow(count, "anchor bigint, left binary, right binary, n bigint").repartition("anchor")
+    seeds = counted.groupBy("anchor", "left", "right").agg(F.sum("n").alias("n")).sortWithinPartitions("anchor", "right")
 
     def induce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(part: pa.Table) -> Iterator[pa.RecordBatch]:
