@@ -214,7 +214,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = tree.unionByName(tree.select(F.col("v").alias("u"), "v").distinct())
     least = linked.join(distinct, F.col("u") == F.col("fp")).groupBy("v").agg(F.min("least").alias("reached"))
     reached = linked.join(least, "v").select(F.col("u").alias("fp"), "reached", F.lit(True).alias("linked"))
-    label = distinct.join(reached, "fp", "left").select(F.col("fp").alias("k"), F.when(F.col("linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id"))
+    # written once, so that the last join stands alone and Spark may split the partition of a fingerprint that many rows have
+    label = cut(distinct.join(reached, "fp", "left").select(F.col("fp").alias("k"), F.when(F.col("linked"), F.col("reached")).otherwise(F.col("least")).alias("component_id")))
     return rows.join(label, F.col("fp") == F.col("k")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True))
     )
