@@ -24,6 +24,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊÑÓ"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 VECTOR = ("x1", "x2", "x3")
+SALTS = 32  # parts of a pool
 BINS = 64  # bins of a unit of log distance
 
 
@@ -78,6 +79,15 @@ def _floored(estimate: DataFrame, floor: float) -> DataFrame:
     return estimate.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) + (floor if n[1] == n[2] else 0.0) for n in ("c00", "c11", "c22", "c01", "c02", "c12")})
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Rows of a pool in ``SALTS`` parts, so that joins with a row for each pool don't gather a large pool in one task."""
+    return rows.withColumn("salt", F.floor(F.rand(11) * SALTS).cast("int"))
+
+
+def _for_each_salt(pools: DataFrame) -> DataFrame:
+    return pools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _first_bin(counts: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
     """For each key, the first bin at which ``share`` of its rows are reached. ``counts``: keys, bin, n."""
     up_to = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -111,15 +121,15 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 3, floor
     )
     plain = rows.groupBy("pool").agg(*_covariances()).select("pool", F.lit(1).alias("start"), *(c for c in medians.columns if c not in ("pool", "start")))
     estimate = cut(_floored(medians.unionByName(plain), floor))
-    both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = _salted(rows).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        placed = both.join(estimate, ["pool", "start"]).withColumn("d2", _distance()).select("pool", "start", *VECTOR, _log_bin().alias("bin"))
+        placed = both.join(_for_each_salt(estimate), ["pool", "start", "salt"]).withColumn("d2", _distance()).select("pool", "start", "salt", *VECTOR, _log_bin().alias("bin"))
         counts = placed.groupBy("pool", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
         edge = _first_bin(counts, ["pool", "start"], share, "edge")
-        estimate = cut(_floored(placed.join(edge, ["pool", "start"]).filter(F.col("bin") <= F.col("edge")).groupBy("pool", "start").agg(*_covariances()), floor))
+        estimate = cut(_floored(placed.join(_for_each_salt(edge), ["pool", "start", "salt"]).filter(F.col("bin") <= F.col("edge")).groupBy("pool", "start").agg(*_covariances()), floor))
     best = Window.partitionBy("pool").orderBy("determinant", "start")
     estimate = estimate.withColumn("determinant", _determinant()).withColumn("best", F.row_number().over(best)).filter("best = 1").drop("best", "determinant", "start")
-    counts = rows.join(estimate, "pool").withColumn("d2", _distance()).groupBy("pool", _log_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = _salted(rows).join(_for_each_salt(estimate), ["pool", "salt"]).withColumn("d2", _distance()).groupBy("pool", _log_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # 2.366 is the median of the squared distance of normal rows on three axes
     return cut(estimate.join(_first_bin(counts, ["pool"], 0.5, "half"), "pool").withColumn("scale", F.greatest(F.exp((F.col("half") + 0.5) / BINS) / 2.366, F.lit(1e-6))).drop("half"))
 
@@ -152,11 +162,11 @@ def quality_rules(
     even = F.sqrt(F.col("n_words") / (F.col("n_words") + even_words))
     rate = lambda c, over: F.col(c) / F.col(over) if c.endswith("word_chars") else F.log(F.col(c) / F.col(over) + 0.1)
     x = {name: (rate(c, "n_words") - rate(f"t{c}", "tn_words")) * even for name, c in zip(VECTOR, sums[1:], strict=True)}
-    placed = raw.join(pooled, ["_lang", "_source"], "left").withColumns({n: F.when(~F.col("base_failed"), c) for n, c in x.items()})
+    placed = _salted(raw).join(_for_each_salt(pooled), ["_lang", "_source", "salt"], "left").withColumns({n: F.when(~F.col("base_failed"), c) for n, c in x.items()})
     vectors = placed.filter(~F.col("base_failed") & (F.col("pool_rows") >= least_rows)).select("pool", *VECTOR)
     estimates = robust_estimates(vectors, share, steps).withColumnRenamed("pool", "_pool")
     return (
-        placed.join(estimates, (F.col("pool") == F.col("_pool")), "left")
+        placed.join(_for_each_salt(estimates).withColumnRenamed("salt", "_salt"), (F.col("pool") == F.col("_pool")) & (F.col("salt") == F.col("_salt")), "left")
         .withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
