@@ -221,15 +221,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-SKETCH = 128  # least hashes of a text's shingles that estimate a similarity; its standard error is at most 0.045
+SKETCH = 128  # buckets whose least hashes estimate a similarity; the standard error is at most 0.045
+NOTHING = np.uint32(0xFFFFFFFF)
 WIDE = 14  # bits within which nearly all texts of similarity 0.8 stay
 
 
 def shingle_sketch(text: bytes, width: int) -> tuple[int, int, bytes]:
-    """SimHash, number of distinct shingles, and their ``SKETCH`` least hashes (upper 32 bits, in order)."""
+    """SimHash, number of distinct shingles, and the least hash (upper 32 bits) in each of ``SKETCH`` buckets of them."""
     words = text.lower().split()
+    least = np.full(SKETCH, NOTHING)
     if not words:
-        return 0, 0, b""
+        return 0, 0, least.tobytes()
     n = max(1, len(words) - width + 1)
     hashes, counts = [], np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
@@ -237,19 +239,21 @@ def shingle_sketch(text: bytes, width: int) -> tuple[int, int, bytes]:
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
         hashes.append(part)
     distinct = np.unique(np.concatenate(hashes))
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0]), len(distinct), (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()
+    np.minimum.at(least, (distinct % np.uint64(SKETCH)).astype(np.int64), (distinct >> np.uint64(32)).astype(np.uint32))
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0]), len(distinct), least.tobytes()
 
 
-def resemblance(a: bytes, b: bytes) -> float:
-    """The Jaccard similarity of two texts' shingles, estimated by the least hashes of their union (exact for few shingles)."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    union = np.union1d(x, y)[:SKETCH]
-    return 1.0 if not len(union) else float((np.isin(union, x) & np.isin(union, y)).mean())
+def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of a text's shingles and those of each of many, by buckets that are not empty in both."""
+    filled = (one != NOTHING) | (many != NOTHING)
+    n = filled.sum(axis=1)
+    return np.where(n, ((one == many) & filled).sum(axis=1) / np.maximum(n, 1), 1.0)
 
 
 def link_near(fps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], home: np.ndarray, similarity: float, radius: int) -> Forest:
     """Joins texts, one of each two at home, that are alike; rows must come in the order of ``sizes``."""
     fps, forest = fps.view(np.uint64), Forest(len(fps))
+    least = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, SKETCH)
     own = np.flatnonzero(home)
     for at in range(0, len(own), 64):
         block = own[at : at + 64]
@@ -257,11 +261,12 @@ def link_near(fps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], home: n
         near = np.bitwise_count(fps[block][:, None] ^ fps[None, lo:hi]) <= radius
         for k in np.flatnonzero(near.sum(axis=1) > 1):
             me, others = block[k], lo + np.flatnonzero(near[k])
-            while len(others := others[forest.roots(others) != forest.roots(block[k : k + 1])[0]]):
-                ratio = min(sizes[me], sizes[others[0]]) / max(sizes[me], sizes[others[0]], 1)
-                if (ratio >= similarity or sizes[me] == sizes[others[0]]) and resemblance(sketches[me], sketches[others[0]]) >= similarity:
-                    forest.join(np.array([me, others[0]]))
-                others = others[1:]
+            others = others[forest.roots(others) != forest.roots(block[k : k + 1])[0]]
+            ratio = np.minimum(sizes[me], sizes[others]) >= similarity * np.maximum(sizes[me], sizes[others])
+            others = others[ratio]
+            alike = others[resemblance(least[me], least[others]) >= similarity]
+            if len(alike):
+                forest.join(np.append(alike, me))
     return forest
 
 
