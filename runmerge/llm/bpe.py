@@ -21,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE = 300_000
+#: Entries of each of a worker's caches (pieces between white space, words, pairs); a full one is emptied.
+CACHE = 200_000
 #: Characters of output after which a batch is passed on.
 BATCH_CHARS = 4 << 20
 NEVER = 1 << 62
@@ -53,7 +53,8 @@ class Bpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(pattern).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
-        self.bytes = byte_symbols()
+        self.bytes = dict(enumerate(byte_symbols()))
+        self.known: dict[str, list[int]] = {}  # words, with whatever punctuation they stand
         # a merged token's two parts and rank; a pair's rank
         self.made: dict[int, tuple[int, int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
@@ -121,20 +122,27 @@ class Bpe:
         return known
 
     def encode_word(self, word: str) -> list[int]:
-        symbols = "".join(map(self.bytes.__getitem__, word.encode()))
+        symbols = word.encode().decode("latin-1").translate(self.bytes)
         symbols = symbols[:-1] + chr(ord(symbols[-1]) + 4096)
-        last: list[tuple[int, int] | None] = [None] * (len(symbols) + 1)
+        n = len(symbols)
+        tokens, lengths = [-1] * (n + 1), [0] * (n + 1)  # the last token of each prefix
+        fits = self._fits
         for at, (token, length) in self.automaton.iter(symbols):
             at += 1
-            if last[at] is None:
-                before = last[at - length] if at > length else None
-                if at == length or (before is not None and self.fits(before[0], token)):
-                    last[at] = (token, length)
-        ids, at = [], len(symbols)
-        while at:
-            token, length = last[at]
-            ids.append(token)
-            at -= length
+            if tokens[at] >= 0:
+                continue
+            if length != at:
+                before = tokens[at - length]
+                if before < 0:
+                    continue
+                known = fits.get((before, token))
+                if not (self.fits(before, token) if known is None else known):
+                    continue
+            tokens[at], lengths[at] = token, length
+        ids = []
+        while n:
+            ids.append(tokens[n])
+            n -= lengths[n]
         return ids[::-1]
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -147,7 +155,14 @@ class Bpe:
                 # character by character, so that no rule looks at what stands around
                 part = part.lower() if part.isascii() else "".join(c.lower() for c in part)
                 for word in self.words(part):
-                    ids += self.encode_word(word)
+                    known = self.known.get(word)
+                    if known is None:
+                        known = self.encode_word(word)
+                        if len(word) < 100:
+                            if len(self.known) >= CACHE:
+                                self.known.clear()
+                            self.known[word] = known
+                    ids += known
         return ids
 
     def pieces(self, text: str) -> list[str]:
@@ -166,17 +181,20 @@ _ODD = re.compile("[\x1c-\x1f]")  # str.split() takes them for white space
 
 
 class _Cache(dict):
-    """Number of ids, ids and decoded tokens of a piece."""
+    """Number of ids, ids and decoded tokens of a piece. What was not used since the last but one filling is forgotten."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, piece: str) -> tuple[int, str, str]:
-        ids = self.bpe.encode_piece(piece)
-        found = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+        found = self.old.get(piece)
+        if found is None:
+            ids = self.bpe.encode_piece(piece)
+            found = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
         if len(piece) < 100:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[piece] = found
         return found
