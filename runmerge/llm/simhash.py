@@ -223,24 +223,80 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 SKETCH = 128  # buckets whose least hashes estimate a similarity; the standard error is at most 0.045
 NOTHING = np.uint32(0xFFFFFFFF)
-WIDE = 14  # bits within which nearly all texts of similarity 0.8 stay
+WIDTH = 2048  # texts that a block of 64 is compared with at a time
 
 
-def shingle_sketch(text: bytes, width: int) -> tuple[int, int, bytes]:
-    """SimHash, number of distinct shingles, and the least hash (upper 32 bits) in each of ``SKETCH`` buckets of them."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles of ``width`` words; a text without words has the one shingle 0."""
     words = text.lower().split()
-    least = np.full(SKETCH, NOTHING)
     if not words:
-        return 0, 0, least.tobytes()
+        return np.zeros(1, np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(words) - width + 1)
-    hashes, counts = [], np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        part = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(at, min(n, at + BLOCK))], np.uint64)
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        hashes.append(part)
-    distinct = np.unique(np.concatenate(hashes))
-    np.minimum.at(least, (distinct % np.uint64(SKETCH)).astype(np.int64), (distinct >> np.uint64(32)).astype(np.uint32))
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0]), len(distinct), least.tobytes()
+    first, last = (ends - lengths)[:n].tolist(), (ends[width - 1 :] if len(words) >= width else ends[-1:]).tolist()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n))
+
+
+def shell_of(size: int, similarity: float) -> int:
+    return int(np.log(size) / -np.log(similarity))
+
+
+def parity_words(shell: int, similarity: float) -> tuple[int, int]:
+    """How many 64-bit words of parities tell nearly all unlike texts of a shell apart, and how many are kept, a power of two."""
+    limit = 2 * np.exp(-np.log(similarity) * (shell + 1)) * (1 - similarity) / (1 + similarity)
+    n = 1
+    while 0.45 * 64 * n - 2 * np.sqrt(64 * n) < limit:
+        n += max(1, n // 8)
+    return n, 2 << (n - 1).bit_length()
+
+
+def parities(hashes: np.ndarray, words: int) -> bytes:
+    """``64 * words`` bits, each turned over once for every shingle dealt to it.
+
+    A shingle that only one of two texts has turns one bit, so the bits in which their parities differ, or those of
+    any part of the parities, are never more than the shingles that only one has.
+    """
+    counts = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, words: int) -> bytes:
+    """Parities of ``words`` words from longer ones."""
+    while len(bits) > 8 * words:
+        half_way = len(bits) // 2
+        bits = (np.frombuffer(bits[:half_way], np.uint8) ^ np.frombuffer(bits[half_way:], np.uint8)).tobytes()
+    return bits
+
+
+def candidates(bits: np.ndarray, sizes: np.ndarray, home: np.ndarray, similarity: float, first: int, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(one, other)`` in parts: all pairs, one of them at home and not in a tree of ``forest`` yet, that can be alike.
+
+    Rows come in the order of ``sizes``. Texts are alike at ``similarity`` s if the shingles that only one has are at
+    most (1 - s) / (1 + s) of the sum of both numbers. No such pair is left out, as parities of ``bits`` (a row for
+    each text) differ in no more bits than that; the ``first`` words are compared for all, the rest for what remains.
+    """
+    columns, share = np.ascontiguousarray(bits[:, :first].T), (1 - similarity) / (1 + similarity)
+    own = np.flatnonzero(home)
+    for at in range(0, len(own), 64):
+        block = own[at : at + 64]
+        lo, hi = np.searchsorted(sizes, [sizes[block[0]] * similarity - 1e-6, sizes[block[-1]] / similarity + 1e-6])
+        for a in range(lo, hi, WIDTH):
+            b = min(hi, a + WIDTH)
+            apart = np.zeros((len(block), b - a), np.uint16 if first < 1000 else np.int32)
+            for c in columns:
+                apart += np.bitwise_count(c[block][:, None] ^ c[None, a:b])
+            k, other = np.nonzero(apart <= int((sizes[block[-1]] + sizes[b - 1]) * share + 1e-6))
+            one, other = block[k], other + a
+            small, large = np.minimum(sizes[one], sizes[other]), np.maximum(sizes[one], sizes[other])
+            keep = (one != other) & (small >= similarity * large - 1e-6) & (forest.roots(one) != forest.roots(other))
+            one, other, limit = one[keep], other[keep], ((small + large)[keep] * share + 1e-6).astype(np.int64)
+            for x in range(0, len(one), 65536):  # of bounded memory
+                i, j = one[x : x + 65536], other[x : x + 65536]
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= limit[x : x + 65536]
+                if near.any():
+                    yield i[near], j[near]
 
 
 def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -250,47 +306,49 @@ def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.where(n, ((one == many) & filled).sum(axis=1) / np.maximum(n, 1), 1.0)
 
 
-def link_near(fps: np.ndarray, sizes: np.ndarray, sketches: list[bytes], home: np.ndarray, similarity: float, radius: int) -> Forest:
+def link_near(bits: np.ndarray, sizes: np.ndarray, sketches: list[bytes], home: np.ndarray, similarity: float, first: int) -> Forest:
     """Joins texts, one of each two at home, that are alike; rows must come in the order of ``sizes``."""
-    fps, forest = fps.view(np.uint64), Forest(len(fps))
+    forest = Forest(len(sizes))
     least = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, SKETCH)
-    own = np.flatnonzero(home)
-    for at in range(0, len(own), 64):
-        block = own[at : at + 64]
-        lo, hi = np.searchsorted(sizes, [sizes[block[0]] * similarity, sizes[block[-1]] / similarity + 1e-9])
-        near = np.bitwise_count(fps[block][:, None] ^ fps[None, lo:hi]) <= radius
-        for k in np.flatnonzero(near.sum(axis=1) > 1):
-            me, others = block[k], lo + np.flatnonzero(near[k])
-            others = others[forest.roots(others) != forest.roots(block[k : k + 1])[0]]
-            ratio = np.minimum(sizes[me], sizes[others]) >= similarity * np.maximum(sizes[me], sizes[others])
-            others = others[ratio]
-            alike = others[resemblance(least[me], least[others]) >= similarity]
-            if len(alike):
-                forest.join(np.append(alike, me))
+    for one, other in candidates(bits, sizes, home, similarity, first, forest):
+        alike = resemblance(least[one], least[other]) >= similarity
+        one, other = one[alike], other[alike]
+        for me, at in zip(*np.unique(one, return_index=True), strict=True):
+            forest.join(np.append(other[at : np.searchsorted(one, me, "right")], me))
     return forest
 
 
-def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = WIDE, shard: int = 8192) -> DataFrame:
+def least_hashes(hashes: np.ndarray) -> bytes:
+    """The least hash (upper 32 bits) in each of ``SKETCH`` buckets."""
+    least = np.full(SKETCH, NOTHING)
+    np.minimum.at(least, (hashes % np.uint64(SKETCH)).astype(np.int64), (hashes >> np.uint64(32)).astype(np.uint32))
+    return least.tobytes()
+
+
+def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, shard: int = 8192) -> DataFrame:
     """``u, v``: for each text that is a near copy but its group's first by key, its key and that first one.
 
-    Near copies have ``similarity`` or more of their shingles of ``width`` words in common and fingerprints within
-    ``radius`` bits; groups are closed under links. That radius is far too wide for a vantage point among the
-    fingerprints to prune anything, as distances of unlike texts keep within a few bits of 32; the vantage point is
+    Near copies have ``similarity`` or more of their distinct shingles of ``width`` words in common; groups are
+    closed under links. Vantage points among the texts prune nothing at that distance; the vantage point is
     the empty text, in the metric of log sizes, where the bound for a similarity s is log(1 / s). Shells are that
-    wide, each text is at home in one and visits the next. A shell with more than ``shard`` homes is dealt to
+    wide, each text is at home in one and visits the next; there, parities of the shingles rule out what is too far
+    apart, and no pair that is alike. A shell with more than ``shard`` homes is dealt to
     several tasks. Keys must be unique and not null. A null text counts as empty; empty texts are copies of one another.
     """
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), F.col(key_col).cast("bigint").alias("key"))
-    shell = float(-np.log(similarity))
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shingle_sketch(t.as_py() or b"", width) for t in batch.column(0)]
-            fps, sizes = pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())
-            shells = pa.array([int(np.log(max(1, g[1])) / shell) for g in got], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), shells, fps, sizes, pa.array([g[2] for g in got], pa.binary())], ["key", "shell", "fp", "size", "sketch"])
-
-    sketches = cut(rows.mapInArrow(sketch, "key bigint, shell int, fp bigint, size bigint, sketch binary"))
+            got = []
+            for t in batch.column(0):
+                hashes = shingles(t.as_py() or b"", width)
+                shell = shell_of(len(hashes), similarity)
+                # as many bits as the next shell takes, which are folded in its own
+                got.append((shell, len(hashes), parities(hashes, parity_words(shell + 1, similarity)[1]), least_hashes(hashes)))
+            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["key", "shell", "size", "bits", "sketch"])
+
+    sketches = cut(rows.mapInArrow(sketch, "key bigint, shell int, size bigint, bits binary, sketch binary"))
     # a row for each shell: as many as the logarithm of the longest text
     counts = {r["shell"]: r["n"] for r in sketches.groupBy("shell").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, ceil(n / shard)))) if counts else F.create_map(F.lit(0), F.lit(1))
@@ -303,11 +361,13 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
     def links(group: pa.Table) -> pa.Table:
         group = group.sort_by("size")
         keys = group.column("key").to_numpy()
-        forest = link_near(group.column("fp").to_numpy(), group.column("size").to_numpy(), group.column("sketch").to_pylist(), group.column("home").to_numpy(), similarity, radius)
+        first, words = parity_words(group.column("shell")[0].as_py(), similarity)
+        bits = np.frombuffer(b"".join(folded(b, words) for b in group.column("bits").to_pylist()), np.uint64).reshape(-1, words)
+        forest = link_near(bits, group.column("size").to_numpy(), group.column("sketch").to_pylist(), group.column("home").to_numpy(), similarity, first)
         roots = forest.roots(np.arange(len(keys)))
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
 
-    columns = ["shell", "part", "key", "fp", "size", "sketch", "home"]
+    columns = ["shell", "part", "key", "size", "bits", "sketch", "home"]
     dealt = own.select(columns).unionByName(inside.select(columns)).unionByName(after.select(columns))
     return components(dealt.groupBy("shell", "part").applyInArrow(links, "u bigint, v bigint"))
