@@ -221,9 +221,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-SKETCH = 128  # buckets whose least hashes estimate a similarity; the standard error is at most 0.045
-NOTHING = np.uint32(0xFFFFFFFF)
 WIDTH = 2048  # texts that a block of 64 is compared with at a time
+TOGETHER = 1 << 21  # shingles of a component's texts in a part, two of which meet in a task
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -299,41 +298,55 @@ def candidates(bits: np.ndarray, sizes: np.ndarray, home: np.ndarray, similarity
                     yield i[near], j[near]
 
 
-def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """The Jaccard similarity of a text's shingles and those of each of many, by buckets that are not empty in both."""
-    filled = (one != NOTHING) | (many != NOTHING)
-    n = filled.sum(axis=1)
-    return np.where(n, ((one == many) & filled).sum(axis=1) / np.maximum(n, 1), 1.0)
-
-
-def link_near(bits: np.ndarray, sizes: np.ndarray, sketches: list[bytes], home: np.ndarray, similarity: float, first: int) -> Forest:
-    """Joins texts, one of each two at home, that are alike; rows must come in the order of ``sizes``."""
-    forest = Forest(len(sizes))
-    least = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, SKETCH)
-    for one, other in candidates(bits, sizes, home, similarity, first, forest):
-        alike = resemblance(least[one], least[other]) >= similarity
-        one, other = one[alike], other[alike]
-        for me, at in zip(*np.unique(one, return_index=True), strict=True):
-            forest.join(np.append(other[at : np.searchsorted(one, me, "right")], me))
-    return forest
-
-
-def least_hashes(hashes: np.ndarray) -> bytes:
-    """The least hash (upper 32 bits) in each of ``SKETCH`` buckets."""
-    least = np.full(SKETCH, NOTHING)
-    np.minimum.at(least, (hashes % np.uint64(SKETCH)).astype(np.int64), (hashes >> np.uint64(32)).astype(np.uint32))
-    return least.tobytes()
-
-
-def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, shard: int = 8192) -> DataFrame:
+def join_all(forest: Forest, one: np.ndarray, other: np.ndarray) -> None:
+    """Joins the pairs; ``one`` is in order."""
+    for me, at in zip(*np.unique(one, return_index=True), strict=True):
+        forest.join(np.append(other[at : np.searchsorted(one, me, "right")], me))
+
+
+def link_alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the least of those that it is linked to by chains of sets that are alike, counted exactly."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    of = np.split(numbers, np.cumsum(sizes)[:-1])
+    mark, root = np.zeros(numbers.max() + 1, bool), np.arange(len(sets))
+    left = order  # not reached yet
+    while len(left):
+        tree, left = [left[0]], left[1:]
+        tokens, starts = _laid_out(of, left)
+        for me in tree:  # grows
+            lo, hi = np.searchsorted(sizes[left], [sizes[me] * similarity - 1e-6, sizes[me] / similarity + 1e-6])
+            if lo == hi:
+                continue
+            mark[of[me]] = True
+            both = np.add.reduceat(mark[tokens[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            mark[of[me]] = False
+            alike = lo + np.flatnonzero(both >= similarity * (sizes[me] + sizes[left[lo:hi]] - both) - 1e-9)
+            if len(alike):
+                tree += left[alike].tolist()
+                left = np.delete(left, alike)
+                tokens, starts = _laid_out(of, left)
+        root[tree] = min(tree)
+    return root
+
+
+def _laid_out(of: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' tokens one after another, and where each row starts and the last ends."""
+    return np.concatenate([of[i] for i in rows]) if len(rows) else np.zeros(0, int), np.cumsum([0, *(len(of[i]) for i in rows)])
+
+
+def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, shard: int = 8192, together: int = TOGETHER) -> DataFrame:
     """``u, v``: for each text that is a near copy but its group's first by key, its key and that first one.
 
     Near copies have ``similarity`` or more of their distinct shingles of ``width`` words in common; groups are
-    closed under links. Vantage points among the texts prune nothing at that distance; the vantage point is
+    closed under links. Shingles are compared by 64-bit hashes. Vantage points among the texts prune nothing at that distance; the vantage point is
     the empty text, in the metric of log sizes, where the bound for a similarity s is log(1 / s). Shells are that
     wide, each text is at home in one and visits the next; there, parities of the shingles rule out what is too far
     apart, and no pair that is alike. A shell with more than ``shard`` homes is dealt to
-    several tasks. Keys must be unique and not null. A null text counts as empty; empty texts are copies of one another.
+    several tasks. What remains links texts to components that have all members of a group, and within them texts
+    are compared by all their shingles; a component of more than ``together`` shingles is dealt to tasks by pairs of
+    its parts. ``docs`` must be a file scan, or what else gives the same keys and texts when computed again. Keys must be unique and not null. A null text counts as empty; empty texts are copies of one another.
     """
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), F.col(key_col).cast("bigint").alias("key"))
 
@@ -344,11 +357,11 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
                 hashes = shingles(t.as_py() or b"", width)
                 shell = shell_of(len(hashes), similarity)
                 # as many bits as the next shell takes, which are folded in its own
-                got.append((shell, len(hashes), parities(hashes, parity_words(shell + 1, similarity)[1]), least_hashes(hashes)))
-            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["key", "shell", "size", "bits", "sketch"])
+                got.append((shell, len(hashes), parities(hashes, parity_words(shell + 1, similarity)[1])))
+            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["key", "shell", "size", "bits"])
 
-    sketches = cut(rows.mapInArrow(sketch, "key bigint, shell int, size bigint, bits binary, sketch binary"))
+    sketches = cut(rows.mapInArrow(sketch, "key bigint, shell int, size bigint, bits binary"))
     # a row for each shell: as many as the logarithm of the longest text
     counts = {r["shell"]: r["n"] for r in sketches.groupBy("shell").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, ceil(n / shard)))) if counts else F.create_map(F.lit(0), F.lit(1))
@@ -363,11 +376,27 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
         keys = group.column("key").to_numpy()
         first, words = parity_words(group.column("shell")[0].as_py(), similarity)
         bits = np.frombuffer(b"".join(folded(b, words) for b in group.column("bits").to_pylist()), np.uint64).reshape(-1, words)
-        forest = link_near(bits, group.column("size").to_numpy(), group.column("sketch").to_pylist(), group.column("home").to_numpy(), similarity, first)
+        forest = Forest(len(keys))
+        for one, other in candidates(bits, group.column("size").to_numpy(), group.column("home").to_numpy(), similarity, first, forest):
+            join_all(forest, one, other)
         roots = forest.roots(np.arange(len(keys)))
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
 
-    columns = ["shell", "part", "key", "size", "bits", "sketch", "home"]
+    columns = ["shell", "part", "key", "size", "bits", "home"]
     dealt = own.select(columns).unionByName(inside.select(columns)).unionByName(after.select(columns))
-    return components(dealt.groupBy("shell", "part").applyInArrow(links, "u bigint, v bigint"))
+    tree = components(dealt.groupBy("shell", "part").applyInArrow(links, "u bigint, v bigint"))
+
+    def verify(group: pa.Table) -> pa.Table:
+        keys = group.column("key").to_numpy()
+        roots = link_alike([shingles(t.as_py() or b"", width) for t in group.column("text")], similarity)
+        linked = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
+
+    members = tree.unionByName(tree.select(F.col("v").alias("u"), "v").distinct()).join(sketches.select(F.col("key").alias("u"), "size"), "u")
+    n = members.groupBy("v").agg(F.ceil(F.sum("size") / together).cast("int").alias("n"))
+    members = members.join(n, "v").select(F.col("u").alias("key"), F.col("v").alias("tree"), "n", F.pmod(F.xxhash64("u"), F.col("n")).cast("int").alias("i"))
+    # each part meets every other one, or itself if it is all
+    meets = F.expr("filter(sequence(0, n - 1), j -> n = 1 or j != i)")
+    members = members.withColumn("j", F.explode(meets)).select("key", "tree", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return components(members.join(rows, "key").groupBy("tree", "a", "b").applyInArrow(verify, "u bigint, v bigint"))

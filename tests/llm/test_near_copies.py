@@ -42,3 +42,21 @@ def test_no_pair_that_is_alike_misses_being_a_candidate():
     assert len(needed) > 30 and needed <= found and len(found) < 4 * len(needed)
     narrow = simhash.parities(sets[0], 4)
     assert simhash.folded(simhash.parities(sets[0], 16), 4) == narrow
+
+
+def test_near_copies_are_those_at_the_similarity_and_no_others(spark, tmp_path):
+    texts = corpus(7)
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(list(enumerate(texts)), "k bigint, text string").coalesce(1).write.parquet(path)
+    sets = [plain(t) for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if least[i] != least[j] and alike(sets[i], sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    wanted = {i: v for i, v in enumerate(least) if v != i}
+    for sizes in ({}, {"shard": 10, "together": 500}):
+        assert {r["u"]: r["v"] for r in simhash.near_copies(spark.read.parquet(path), "k", **sizes).collect()} == wanted
+    close = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]]
+    assert any(0.8 <= x < 0.85 for x in close) and any(0.7 < x < 0.8 for x in close)
