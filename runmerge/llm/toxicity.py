@@ -1,7 +1,7 @@
 """Toxicity by a lexicon that misspelled terms cannot dodge, with context windows.
 
-The lexicon has seed terms and terms learned from labels; edits are allowed in seed terms, as invented or rare
-words that labels teach have ordinary words all around. Its trie is intersected with the Levenshtein automaton
+The lexicon has seed terms and terms learned from labels; an edit is allowed in each that has four letters or more,
+but for look-alikes that labelled texts show to be ordinary words. Its trie is intersected with the Levenshtein automaton
 of distance one: a state is the set of trie nodes and edits that a word's prefix can have reached, transitions
 are worked out once and kept, so a word costs a look-up a letter and mostly ends after two or three. A hit is
 weighed by the words around it: quotation marks and reporting words make it a mention, address makes it abuse.
@@ -32,16 +32,18 @@ QUOTES = "\"“”„«»‘’"
 #: Bounds: labelled rows, lexicon terms, look-alikes that are ordinary words, states kept, words kept.
 SAMPLE, TERMS, ORDINARY, STATES, CACHE = 20_000, 4096, 4096, 50_000, 300_000
 TELLING = 8.0  # evidence that makes a word a term, about as four toxic texts of four
-LEAST_LENGTH = 5  # of terms that are matched with an edit
+LEAST_LENGTH = 5  # of terms that a lexicon matches with an edit unless told otherwise
+SHORT = 4  # the same in a model's lexicon
 SPAN = 5  # words on each side of a hit
 WORDS = re.compile(r"[^\W_]+")
 
 
 class Lexicon:
-    """Finds the term that a word is, or that of ``misspelt`` which it is one edit away from."""
+    """Finds the term that a word is, or that of ``misspelt`` (None: all) with ``least`` letters which it is one edit away from."""
 
-    def __init__(self, terms: Iterable[str], ordinary: Iterable[str] = (), misspelt: Iterable[str] = SEEDS):
-        self.misspelt = frozenset(t for t in misspelt if len(t) >= LEAST_LENGTH)
+    def __init__(self, terms: Iterable[str], ordinary: Iterable[str] = (), misspelt: Iterable[str] | None = None, least: int = LEAST_LENGTH):
+        terms = list(terms)
+        self.misspelt = frozenset(t for t in (terms if misspelt is None else misspelt) if len(t) >= least)
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.fuzzy = [False]  # whether a term that takes an edit is at or below the node
@@ -118,6 +120,9 @@ class ToxicityModel:
     ordinary: list[str] = field(default_factory=list)
     weights: list[float] | None = None
 
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.counts, self.ordinary, least=SHORT)
+
     def term_weight(self, term: str, less: tuple[int, int] = (0, 0)) -> float:
         """Log odds of a term, without the text itself when that is one of those counted; 0 if it no longer tells."""
         a, b = self.counts[term][0] - less[0], self.counts[term][1] - less[1]
@@ -220,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not (total["a"] and total["b"]):
         model.weights = [4.0, 0.0, 2.0, 0.5, 0.0, -4.0]
         return model
-    lexicon = Lexicon(counts)
+    lexicon = model.lexicon()
 
     def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model.ordinary = [r["word"] for r in ordinary.collect()]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(model.counts, model.ordinary)
+        known = model.lexicon()
         for batch in batches:
             ys = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py(), known, model, y) for t, y in zip(batch.column(0), ys, strict=True)], pa.list_(pa.float64())), pa.array(ys, pa.int32())], ["x", "y"])
@@ -254,7 +259,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "score double"])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.counts, model.ordinary)
+        lexicon = model.lexicon()
         *w, constant = model.weights
         for batch in batches:
             scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, constant + sum(a * b for a, b in zip(w, features(t.as_py() or "", lexicon, model), strict=True)))))) for t in batch.column(0)]
