@@ -5,8 +5,8 @@ Sorting all suffixes of a corpus is not needed to find its repeats of N bytes: e
 seeds. Anchors that occur once drop out by a count. Of the others, the seeds are sorted by Spark's external sort,
 anchor first, then what follows. All longer suffixes are induced from them: the suffixes that start l bytes before
 an anchor have the order of the byte at which they start and, among equal bytes, of the suffix one byte
-shorter, which is already sorted. One pass through a queue with a bucket a byte so sorts the next level, and
-level by level the recursion reaches all N - K bytes before the anchors. With each suffix goes its common prefix
+shorter, which is already sorted. One stable sort of arrays by that byte, or for an anchor of very many seeds one
+pass through a queue with a bucket a byte, so sorts the next level, and level by level the recursion reaches all N - K bytes before the anchors. With each suffix goes its common prefix
 with its predecessor: one more than the least value between their shorter suffixes. Neighbours with N bytes or
 more in common are repeats. The queue spills to disk; equal surroundings meet as one seed with a count.
 """
@@ -186,6 +186,21 @@ def _anchors_of(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.
             texts, size, first = [], 0, i + 1
 
 
+def repeats_by_anchor(anchor: np.ndarray, left: list[bytes], right: list[bytes], count: np.ndarray, k: int, length: int, large: int = LARGE) -> np.ndarray:
+    """The same for seeds sorted by anchor: those of an anchor with more than ``large`` by themselves, through the queue, others together."""
+    starts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    ends = np.append(starts[1:], len(anchor))
+    big = ends - starts > large
+    cuts = np.unique(np.concatenate([[0, len(anchor)], starts[big], ends[big]])).tolist()
+    queued, found = set(starts[big].tolist()), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a in queued:
+            found.append(repeats_on_disk(left[a:b], right[a:b], count[a:b], k, length, limit=large))
+        else:
+            found.append(repeats(np.concatenate([[0], np.cumsum(np.diff(anchor[a:b]) != 0)]), left[a:b], right[a:b], count[a:b], k, length))
+    return np.concatenate(found)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, text`` (bytes), ``spans`` (array of start and end) and ``kept`` (bytes).
 
@@ -250,9 +265,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def induce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(part: pa.Table) -> Iterator[pa.RecordBatch]:
             anchor = part.column("anchor").to_numpy()
-            group = np.concatenate([[0], np.cumsum(np.diff(anchor) != 0)])
             left, right, n = part.column("left").to_pylist(), part.column("right").to_pylist(), part.column("n").to_numpy()
-            found = repeats_on_disk(left, right, n, k, length) if group[-1] == 0 and len(n) > LARGE else repeats(group, left, right, n, k, length)
+            found = repeats_by_anchor(anchor, left, right, n, k, length)
             some = np.flatnonzero(found.any(axis=1))
             masks = np.packbits(found[some], axis=1)
             part = part.select(["anchor", "left", "right"]).take(pa.array(some)).append_column("mask", pa.array([m.tobytes() for m in masks], pa.binary()))

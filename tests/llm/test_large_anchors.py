@@ -1,0 +1,19 @@
+import random
+
+import numpy as np
+from runmerge.llm import suffix_dedup
+
+
+def test_a_large_anchor_takes_the_queue_beside_others(monkeypatch):
+    rng = random.Random(4)
+    some = lambda: bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 7)))
+    seeds = sorted({(a, some(), some()) for a in (3, 5, 5, 5, 5, 5, 5, 8) for _ in range(60)}, key=lambda x: (x[0], x[1]))
+    anchor = np.array([a for a, _, _ in seeds])
+    right, left, count = [r for _, r, _ in seeds], [x for _, _, x in seeds], np.array([rng.choice([1, 1, 2]) for _ in seeds])
+    large = int((anchor == 5).sum()) - 1
+    assert large > max((anchor == 3).sum(), (anchor == 8).sum())
+    queued, on_disk = [], suffix_dedup.repeats_on_disk
+    monkeypatch.setattr(suffix_dedup, "repeats_on_disk", lambda left, *a, **b: queued.append(len(left)) or on_disk(left, *a, **b))
+    found = suffix_dedup.repeats_by_anchor(anchor, left, right, count, 5, 12, large)
+    group = np.searchsorted(np.unique(anchor), anchor)
+    assert queued == [large + 1] and (found == suffix_dedup.repeats(group, left, right, count, 5, 12)).all()
