@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Entries of each of a worker's caches (pieces between white space, words, pairs); a full one is emptied.
 CACHE = 200_000
+#: Below this, letters are those of every Unicode version, so a piece of letters only is one word.
+PLAIN = "\u0250"
 #: Characters of output after which a batch is passed on.
 BATCH_CHARS = 4 << 20
 NEVER = 1 << 62
@@ -54,17 +57,19 @@ class Bpe:
         self.words = regex.compile(pattern).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
         self.bytes = dict(enumerate(byte_symbols()))
-        self.known: dict[str, list[int]] = {}  # words, with whatever punctuation they stand
+        self.text_of = {i: str(i) for i in self.token_of}
+        self.known: dict[str, tuple[int, str, str]] = {}  # words, with whatever punctuation they stand
         # a merged token's two parts and rank; a pair's rank
         self.made: dict[int, tuple[int, int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
+        self.shift = max(self.token_of).bit_length()
         for r, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b = self.id_of[left], self.id_of[right]
             self.rank[a, b] = r
             self.made.setdefault(self.id_of[left + right], (a, b, r))
         self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by both tokens in one number
         self.automaton = ahocorasick.Automaton()
         reachable: dict[int, bool] = {}
         for token, i in sorted(self.id_of.items(), key=lambda x: self.made.get(x[1], (0, 0, -1))[2]):
@@ -114,19 +119,20 @@ class Bpe:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE leaves a and b, each whole, beside each other."""
-        known = self._fits.get((a, b))
+        known = self._fits.get(a << self.shift | b)
         if known is None:
             if len(self._fits) >= CACHE:
                 self._fits.clear()
-            known = self._fits[a, b] = self._meets(a, b) < 0
+            known = self._fits[a << self.shift | b] = self._meets(a, b) < 0
         return known
 
     def encode_word(self, word: str) -> list[int]:
-        symbols = word.encode().decode("latin-1").translate(self.bytes)
+        # printable ASCII stands for itself
+        symbols = word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(self.bytes)
         symbols = symbols[:-1] + chr(ord(symbols[-1]) + 4096)
         n = len(symbols)
         tokens, lengths = [-1] * (n + 1), [0] * (n + 1)  # the last token of each prefix
-        fits = self._fits
+        fits, shift = self._fits.get, self.shift
         for at, (token, length) in self.automaton.iter(symbols):
             at += 1
             if tokens[at] >= 0:
@@ -135,7 +141,7 @@ class Bpe:
                 before = tokens[at - length]
                 if before < 0:
                     continue
-                known = fits.get((before, token))
+                known = fits(before << shift | token)
                 if not (self.fits(before, token) if known is None else known):
                     continue
             tokens[at], lengths[at] = token, length
@@ -145,53 +151,75 @@ class Bpe:
             n -= lengths[n]
         return ids[::-1]
 
-    def encode_piece(self, piece: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.specials(piece):
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join([self.text_of[i] for i in ids]), self.decode(ids)
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        known = self.known.get(word)
+        if known is None:
+            known = self._entry(self.encode_word(word))
+            if len(word) < 100:
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                self.known[word] = known
+        return known
+
+    def _lowered(self, part: str) -> str:
+        part = unicodedata.normalize("NFC", part)
+        # a final sigma is lowered by itself, so that no rule looks at what stands around
+        return "".join([c.lower() for c in part]) if "Σ" in part else part.lower()
+
+    def piece(self, piece: str) -> tuple[int, str, str]:
+        """Number of ids, ids and decoded tokens of what stands between white space."""
+        low = piece.lower() if piece.isascii() else self._lowered(piece)
+        if low.isalpha() and max(low) < PLAIN:
+            return self._word(low)
+        parts = []
+        for part in self.specials(piece) if any(map(piece.__contains__, self.special)) else [piece]:
             if part in self.special:
-                ids.append(self.special[part])
+                parts.append(self._entry([self.special[part]]))
             elif part:
-                part = unicodedata.normalize("NFC", part)
-                # character by character, so that no rule looks at what stands around
-                part = part.lower() if part.isascii() else "".join(c.lower() for c in part)
-                for word in self.words(part):
-                    known = self.known.get(word)
-                    if known is None:
-                        known = self.encode_word(word)
-                        if len(word) < 100:
-                            if len(self.known) >= CACHE:
-                                self.known.clear()
-                            self.known[word] = known
-                    ids += known
-        return ids
+                parts += map(self._word, self.words(self._lowered(part)))
+        if len(parts) == 1:
+            return parts[0]
+        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
     def pieces(self, text: str) -> list[str]:
         """Splits at white space, which no token spans."""
-        return regex.split(r"\p{White_Space}+", text) if _ODD.search(text) else text.split()
+        return [p for p in regex.split(r"\p{White_Space}+", text) if p] if any(map(text.__contains__, ODD)) else text.split()
+
+    def encode_text(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, ids and decoded tokens, both joined by one space. Pieces come from the cache."""
+        found = list(map(self.cache.__getitem__, self.pieces(text)))
+        if self.cache.blank:
+            found = [f for f in found if f[0]]
+        return sum(map(_COUNT, found)), " ".join(map(_IDS, found)), " ".join(map(_DECODED, found))
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pieces(text) for i in self.encode_piece(piece)]
+        return [int(i) for i in self.encode_text(text)[1].split()]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by one space, as a file without a decoder asks for. Ids without a token are left out."""
-        return " ".join(self.token_of[i] for i in ids if i in self.token_of)
+        return " ".join([self.token_of[i] for i in ids if i in self.token_of])
 
 
-_ODD = re.compile("[\x1c-\x1f]")  # str.split() takes them for white space
+ODD = "\x1c\x1d\x1e\x1f"  # str.split() takes them for white space
+_COUNT, _IDS, _DECODED = map(itemgetter, range(3))
 
 
 class _Cache(dict):
-    """Number of ids, ids and decoded tokens of a piece. What was not used since the last but one filling is forgotten."""
+    """What ``Bpe.piece`` has for a piece. What was not used since the last but one filling is forgotten."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe, self.old = bpe, {}
+        self.blank = False  # whether some piece had no ids
 
     def __missing__(self, piece: str) -> tuple[int, str, str]:
         found = self.old.get(piece)
         if found is None:
-            ids = self.bpe.encode_piece(piece)
-            found = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+            found = self.bpe.piece(piece)
+            self.blank = self.blank or not found[0]
         if len(piece) < 100:
             if len(self) >= CACHE:
                 self.old = dict(self)
@@ -226,14 +254,11 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", carry:
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        cache = bpe.cache
         for batch in batches:
             at, size, counts, ids, decoded = 0, 0, [], [], []
             for row in range(batch.num_rows):
-                got = [cache[p] for p in bpe.pieces(batch.column(0)[row].as_py() or "") if p]
-                counts.append(sum([g[0] for g in got]))
-                ids.append(" ".join([g[1] for g in got if g[0]]))
-                decoded.append(" ".join([g[2] for g in got if g[0]]))
+                for into, value in zip((counts, ids, decoded), bpe.encode_text(batch.column(0)[row].as_py() or ""), strict=True):
+                    into.append(value)
                 size += len(ids[-1]) + len(decoded[-1])
                 if size >= BATCH_CHARS or row == batch.num_rows - 1:
                     carried = batch.slice(at, row + 1 - at).columns[1:]
