@@ -40,6 +40,14 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * _powers(_INVERSE, n - k + 1))
 
 
+def polynomial_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same hash of each stretch of ``data``, which may differ in length."""
+    powers = _powers(_BASE, len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * powers, out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
+
+
 def sliding(x: np.ndarray, w: int, f: np.ufunc, edge: int) -> np.ndarray:
     """``f`` over each window of ``w`` values, one for each start: a prefix and a suffix of two blocks meet in each."""
     n = len(x) - w + 1
@@ -62,9 +70,14 @@ def anchors(data: np.ndarray, starts: np.ndarray, k: int, w: int) -> tuple[np.nd
         return np.empty(0, np.int64), h
     for s in starts[1:]:
         h[max(0, s - k + 1) : s] = NONE
+    at = least_in_windows(h, w)
+    return at, h[at]
+
+
+def least_in_windows(h: np.ndarray, w: int) -> np.ndarray:
+    """Places of the hashes that are the least of some window of ``w`` consecutive ones; ``NONE`` is no hash."""
     # windows that stick out at either end are filled up with no string
     wide = np.concatenate([np.full(w - 1, NONE), h, np.full(w - 1, NONE)])
     least = sliding(wide, w, np.minimum, NONE)
     most = sliding(np.where(least == NONE, np.uint64(0), least), w, np.maximum, np.uint64(0))
-    at = np.flatnonzero((most == h) & (h != NONE))
-    return at, h[at]
+    return np.flatnonzero((most == h) & (h != NONE))

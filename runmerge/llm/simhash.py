@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
+from .grams import portions, word_grams
+from .repeats import GIVEN, repeated
 
 SEED = 42
 HALVES = (0, 32)
@@ -221,182 +223,138 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-WIDTH = 2048  # texts that a block of 64 is compared with at a time
 TOGETHER = 1 << 21  # shingles of a component's texts in a part, two of which meet in a task
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles of ``width`` words; a text without words has the one shingle 0."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(1, np.uint64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    n = max(1, len(words) - width + 1)
-    first, last = (ends - lengths)[:n].tolist(), (ends[width - 1 :] if len(words) >= width else ends[-1:]).tolist()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n))
-
-
-def shell_of(size: int, similarity: float) -> int:
-    return int(np.log(size) / -np.log(similarity))
+def distinct_shingles(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct shingles of texts as entries of value 0, and the number of each text's as a given entry.
 
-
-def parity_words(shell: int, similarity: float) -> tuple[int, int]:
-    """How many 64-bit words of parities tell nearly all unlike texts of a shell apart, and how many are kept, a power of two."""
-    limit = 2 * np.exp(-np.log(similarity) * (shell + 1)) * (1 - similarity) / (1 + similarity)
-    n = 1
-    while 0.45 * 64 * n - 2 * np.sqrt(64 * n) < limit:
-        n += max(1, n // 8)
-    return n, 2 << (n - 1).bit_length()
-
-
-def parities(hashes: np.ndarray, words: int) -> bytes:
-    """``64 * words`` bits, each turned over once for every shingle dealt to it.
-
-    A shingle that only one of two texts has turns one bit, so the bits in which their parities differ, or those of
-    any part of the parities, are never more than the shingles that only one has.
+    A text without words has the one shingle 0.
     """
-    counts = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
-    return np.packbits(counts & 1, bitorder="little").tobytes()
-
-
-def folded(bits: bytes, words: int) -> bytes:
-    """Parities of ``words`` words from longer ones."""
-    while len(bits) > 8 * words:
-        half_way = len(bits) // 2
-        bits = (np.frombuffer(bits[:half_way], np.uint8) ^ np.frombuffer(bits[half_way:], np.uint8)).tobytes()
-    return bits
-
-
-def candidates(bits: np.ndarray, sizes: np.ndarray, home: np.ndarray, similarity: float, first: int, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(one, other)`` in parts: all pairs, one of them at home and not in a tree of ``forest`` yet, that can be alike.
-
-    Rows come in the order of ``sizes``. Texts are alike at ``similarity`` s if the shingles that only one has are at
-    most (1 - s) / (1 + s) of the sum of both numbers. No such pair is left out, as parities of ``bits`` (a row for
-    each text) differ in no more bits than that; the ``first`` words are compared for all, the rest for what remains.
+    for first, some in portions(texts):
+        doc, _, h = word_grams(some, width)
+        blank = np.setdiff1d(np.arange(len(some)), doc)
+        doc, h = np.append(doc, blank), np.append(h, np.zeros(len(blank), np.uint64))
+        order = np.lexsort([h, doc])
+        doc, h = doc[order], h[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
+        doc, h = doc[new], h[new]
+        yield first + doc, h, np.zeros(len(h), np.uint32)
+        yield first + np.arange(len(some)), np.zeros(len(some), np.uint64), GIVEN | np.bincount(doc, minlength=len(some)).astype(np.uint32)
+
+
+def prefixes(keys: np.ndarray, hashes: np.ndarray, values: np.ndarray, similarity: float) -> pa.Table:
+    """The texts that may have a near copy, with their shared shingles, and what links them to others.
+
+    Shingles are put in order, those of one text only before those that several have, else by hash. Two texts that are
+    alike have a shingle in common among the first n - ceil(similarity n) + 1 of each. So a text with that many
+    shingles of its own has no near copy; of the others, those with a shared shingle in these places are linked.
+    ``key, n, hashes`` are rows of texts, ``key, other`` links between texts that have met here, ``hash, key`` one text for each hash.
+    """
+    given = values >= GIVEN
+    order = np.lexsort([hashes, given, keys])
+    keys, hashes, values, given = keys[order], hashes[order], values[order], given[order]
+    sizes = (values[given] & ~GIVEN).astype(np.int64)
+    ends = np.flatnonzero(given)
+    starts = np.append(0, ends[:-1] + 1)
+    own = sizes - (ends - starts)
+    need = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1 - own
+    some = np.flatnonzero(need > 0)
+    texts = [keys[ends[some]], sizes[some], [hashes[starts[i] : ends[i]].tobytes() for i in some]]
+    owner = np.repeat(some, need[some])
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(need[some]) - need[some], need[some]) + starts[owner]
+    order = np.lexsort([owner, hashes[at]])
+    owner, h = owner[order], hashes[at][order]
+    same = np.flatnonzero(h[1:] == h[:-1]) + 1
+    forest = Forest(len(sizes))
+    for a, b in np.unique(np.column_stack([owner[same - 1], owner[same]]), axis=0):
+        forest.join(np.array([a, b]))
+    roots = forest.roots(np.arange(len(sizes)))
+    linked = np.flatnonzero(roots != np.arange(len(sizes)))
+    heads = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    nulls = lambda n, kind: pa.nulls(n, kind)
+    a, b, c = len(some), len(linked), len(heads)
+    columns = [
+        [pa.array(texts[0]), pa.array(keys[ends[linked]]), pa.array(keys[ends[owner[heads]]])],
+        [pa.array(texts[1]), nulls(b + c, pa.int64())],
+        [pa.array(texts[2], pa.binary()), nulls(b + c, pa.binary())],
+        [nulls(a + b, pa.int64()), pa.array(h[heads].view(np.int64))],
+        [nulls(a, pa.int64()), pa.array(keys[ends[roots[linked]]]), nulls(c, pa.int64())],
+    ]
+    return pa.table([pa.chunked_array(x) for x in columns], ["key", "n", "hashes", "hash", "other"]).combine_chunks()
+
+
+def link_alike(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """For each set, the least of those that it is linked to by chains of sets that are alike, counted exactly.
+
+    ``sets`` has the members that a set may share with others, ``sizes`` how many it has in all.
     """
-    columns, share = np.ascontiguousarray(bits[:, :first].T), (1 - similarity) / (1 + similarity)
-    own = np.flatnonzero(home)
-    for at in range(0, len(own), 64):
-        block = own[at : at + 64]
-        lo, hi = np.searchsorted(sizes, [sizes[block[0]] * similarity - 1e-6, sizes[block[-1]] / similarity + 1e-6])
-        for a in range(lo, hi, WIDTH):
-            b = min(hi, a + WIDTH)
-            apart = np.zeros((len(block), b - a), np.uint16 if first < 1000 else np.int32)
-            for c in columns:
-                apart += np.bitwise_count(c[block][:, None] ^ c[None, a:b])
-            k, other = np.nonzero(apart <= int((sizes[block[-1]] + sizes[b - 1]) * share + 1e-6))
-            one, other = block[k], other + a
-            small, large = np.minimum(sizes[one], sizes[other]), np.maximum(sizes[one], sizes[other])
-            keep = (one != other) & (small >= similarity * large - 1e-6) & (forest.roots(one) != forest.roots(other))
-            one, other, limit = one[keep], other[keep], ((small + large)[keep] * share + 1e-6).astype(np.int64)
-            for x in range(0, len(one), 65536):  # of bounded memory
-                i, j = one[x : x + 65536], other[x : x + 65536]
-                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= limit[x : x + 65536]
-                if near.any():
-                    yield i[near], j[near]
-
-
-def join_all(forest: Forest, one: np.ndarray, other: np.ndarray) -> None:
-    """Joins the pairs; ``one`` is in order."""
-    for me, at in zip(*np.unique(one, return_index=True), strict=True):
-        forest.join(np.append(other[at : np.searchsorted(one, me, "right")], me))
-
-
-def link_alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set, the least of those that it is linked to by chains of sets that are alike, counted exactly."""
-    sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
+    by_size = sizes[order]
     numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    of = np.split(numbers, np.cumsum(sizes)[:-1])
-    mark, root = np.zeros(numbers.max() + 1, bool), np.arange(len(sets))
-    left = order  # not reached yet
-    while len(left):
-        tree, left = [left[0]], left[1:]
-        tokens, starts = _laid_out(of, left)
-        for me in tree:  # grows
-            lo, hi = np.searchsorted(sizes[left], [sizes[me] * similarity - 1e-6, sizes[me] / similarity + 1e-6])
-            if lo == hi:
+    of = np.split(numbers, np.cumsum([len(s) for s in sets])[:-1])
+    mark, root, left = np.zeros(len(numbers) + 1, bool), np.arange(len(sets)), np.ones(len(sets), bool)
+    tokens, starts = _laid_out([of[i] for i in order])
+    for first in range(len(order)):
+        if not left[first]:
+            continue
+        left[first] = False
+        tree = [first]  # places in order; grows
+        for me in tree:
+            lo, hi = np.searchsorted(by_size, [by_size[me] * similarity - 1e-6, by_size[me] / similarity + 1e-6])
+            at = lo + np.flatnonzero(left[lo:hi])
+            if not len(at):
                 continue
-            mark[of[me]] = True
-            both = np.add.reduceat(mark[tokens[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
-            mark[of[me]] = False
-            alike = lo + np.flatnonzero(both >= similarity * (sizes[me] + sizes[left[lo:hi]] - both) - 1e-9)
-            if len(alike):
-                tree += left[alike].tolist()
-                left = np.delete(left, alike)
-                tokens, starts = _laid_out(of, left)
-        root[tree] = min(tree)
+            mark[of[order[me]]] = True
+            if 2 * len(at) > hi - lo:
+                both = np.add.reduceat(np.append(mark[tokens[starts[lo] : starts[hi]]], False), starts[lo:hi] - starts[lo], dtype=np.int64)[at - lo]
+            else:
+                both = np.array([np.count_nonzero(mark[of[order[i]]]) for i in at])
+            mark[of[order[me]]] = False
+            alike = at[both >= similarity * (by_size[me] + by_size[at] - both) - 1e-9]
+            left[alike] = False
+            tree += alike.tolist()
+        root[order[tree]] = order[tree].min()
     return root
 
 
-def _laid_out(of: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' tokens one after another, and where each row starts and the last ends."""
-    return np.concatenate([of[i] for i in rows]) if len(rows) else np.zeros(0, int), np.cumsum([0, *(len(of[i]) for i in rows)])
+def _laid_out(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' members one after another, and where each starts and the last ends."""
+    return np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets)])
 
 
-def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, shard: int = 8192, together: int = TOGETHER) -> DataFrame:
+def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, together: int = TOGETHER) -> DataFrame:
     """``u, v``: for each text that is a near copy but its group's first by key, its key and that first one.
 
     Near copies have ``similarity`` or more of their distinct shingles of ``width`` words in common; groups are
-    closed under links. Shingles are compared by 64-bit hashes. Vantage points among the texts prune nothing at that distance; the vantage point is
-    the empty text, in the metric of log sizes, where the bound for a similarity s is log(1 / s). Shells are that
-    wide, each text is at home in one and visits the next; there, parities of the shingles rule out what is too far
-    apart, and no pair that is alike. A shell with more than ``shard`` homes is dealt to
-    several tasks. What remains links texts to components that have all members of a group, and within them texts
-    are compared by all their shingles; a component of more than ``together`` shingles is dealt to tasks by pairs of
-    its parts. ``docs`` must be a file scan, or what else gives the same keys and texts when computed again. Keys must be unique and not null. A null text counts as empty; empty texts are copies of one another.
+    closed under links. A fingerprint of 64 bits can't tell that: at 0.8 it differs in ten bits or so, as many as
+    vantage points can't prune. So shingles are compared themselves, by 64-bit hashes, and no link is lost but by an equal hash
+    of different shingles. What is shared is found by ``repeated``; ``prefixes`` leaves the texts that can have a near copy
+    and links them to components that have all members of a group; within them texts are compared by their shared
+    shingles; a component of more than ``together`` shingles is dealt to tasks by pairs of its parts. Keys must be unique and
+    not null. A null text counts as empty; empty texts are copies of one another.
     """
-    rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"), F.col(key_col).cast("bigint").alias("key"))
-
-    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for t in batch.column(0):
-                hashes = shingles(t.as_py() or b"", width)
-                shell = shell_of(len(hashes), similarity)
-                # as many bits as the next shell takes, which are folded in its own
-                got.append((shell, len(hashes), parities(hashes, parity_words(shell + 1, similarity)[1])))
-            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["key", "shell", "size", "bits"])
-
-    sketches = cut(rows.mapInArrow(sketch, "key bigint, shell int, size bigint, bits binary"))
-    # a row for each shell: as many as the logarithm of the longest text
-    counts = {r["shell"]: r["n"] for r in sketches.groupBy("shell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, ceil(n / shard)))) if counts else F.create_map(F.lit(0), F.lit(1))
-    own = sketches.withColumn("home", F.lit(True)).withColumn("part", F.pmod(F.xxhash64("key"), F.element_at(parts, F.col("shell"))).cast("int"))
-    inside = sketches.withColumn("home", F.lit(False)).withColumn("all", F.element_at(parts, F.col("shell"))).filter("all > 1")
-    inside = inside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).filter(F.col("part") != F.pmod(F.xxhash64("key"), F.col("all"))).drop("all")
-    after = sketches.withColumn("home", F.lit(False)).withColumn("shell", F.col("shell") + 1).withColumn("all", F.element_at(parts, F.col("shell"))).filter("all >= 1")
-    after = after.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).drop("all")
-
-    def links(group: pa.Table) -> pa.Table:
-        group = group.sort_by("size")
-        keys = group.column("key").to_numpy()
-        first, words = parity_words(group.column("shell")[0].as_py(), similarity)
-        bits = np.frombuffer(b"".join(folded(b, words) for b in group.column("bits").to_pylist()), np.uint64).reshape(-1, words)
-        forest = Forest(len(keys))
-        for one, other in candidates(bits, group.column("size").to_numpy(), group.column("home").to_numpy(), similarity, first, forest):
-            join_all(forest, one, other)
-        roots = forest.roots(np.arange(len(keys)))
-        linked = np.flatnonzero(roots != np.arange(len(roots)))
-        return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
-
-    columns = ["shell", "part", "key", "size", "bits", "home"]
-    dealt = own.select(columns).unionByName(inside.select(columns)).unionByName(after.select(columns))
-    tree = components(dealt.groupBy("shell", "part").applyInArrow(links, "u bigint, v bigint"))
+    rows = docs.select(F.col(key_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    found = cut(
+        repeated(rows, lambda texts: distinct_shingles(texts, width), lambda k, h, v: prefixes(k, h, v, similarity), "key bigint, n bigint, hashes binary, hash bigint, other bigint", 0.16)
+    )
+    heads = found.filter("hash is not null").select("hash", "key")
+    least = heads.groupBy("hash").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("hash").alias("h"), "v")
+    links = heads.join(least, F.col("hash") == F.col("h")).select(F.col("key").alias("u"), "v")
+    tree = components(links.unionByName(found.filter("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))))
 
     def verify(group: pa.Table) -> pa.Table:
         keys = group.column("key").to_numpy()
-        roots = link_alike([shingles(t.as_py() or b"", width) for t in group.column("text")], similarity)
+        sets = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("hashes")]
+        roots = link_alike(sets, group.column("n").to_numpy(), similarity)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
 
-    members = tree.unionByName(tree.select(F.col("v").alias("u"), "v").distinct()).join(sketches.select(F.col("key").alias("u"), "size"), "u")
-    n = members.groupBy("v").agg(F.ceil(F.sum("size") / together).cast("int").alias("n"))
-    members = members.join(n, "v").select(F.col("u").alias("key"), F.col("v").alias("tree"), "n", F.pmod(F.xxhash64("u"), F.col("n")).cast("int").alias("i"))
+    sets = found.filter("hashes is not null").select("key", "n", "hashes")
+    members = tree.unionByName(tree.select(F.col("v").alias("u"), "v").distinct()).join(sets, F.col("u") == F.col("key"))
+    parts = members.groupBy("v").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * together)).cast("int").alias("parts")).select(F.col("v").alias("tree"), "parts")
+    members = members.join(parts, F.col("v") == F.col("tree")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # each part meets every other one, or itself if it is all
-    meets = F.expr("filter(sequence(0, n - 1), j -> n = 1 or j != i)")
-    members = members.withColumn("j", F.explode(meets)).select("key", "tree", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    return components(members.join(rows, "key").groupBy("tree", "a", "b").applyInArrow(verify, "u bigint, v bigint"))
+    meets = F.expr("filter(sequence(0, parts - 1), j -> parts = 1 or j != i)")
+    members = members.withColumn("j", F.explode(meets)).select("key", "n", "hashes", "tree", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return components(members.groupBy("tree", "a", "b").applyInArrow(verify, "u bigint, v bigint"))

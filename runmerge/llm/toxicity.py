@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 from .folds import labelled_sample, remainder
@@ -251,22 +252,26 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     """The ``carry`` columns of each row, and ``score`` (0 to 1) and ``predicted`` (1 if score >= ``threshold``, else 0).
 
     A null text counts as empty, which has the score of a text without hits. Texts are read whole; repeated rows
-    are rows; an empty table gives none. A carried column named like a new one is replaced.
+    are rows; an empty table gives none. A carried column named like a new one is replaced. Texts go to the workers
+    once, whether carried or not.
     """
     carry = [c for c in carry if c not in ("score", "predicted")]
-    names = [f"_c{i}" for i in range(len(carry))]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "score double"])
+    again = [c for c in carry if c == text_col and docs.schema[c].dataType == T.StringType()]
+    names = {c: "_text" if c in again else f"_c{i}" for i, c in enumerate(carry)}
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *(F.col(f"`{c}`").alias(n) for c, n in names.items() if c not in again))
+    passed = rows.schema.fields if again else rows.schema.fields[1:]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in passed), "score double"])
+    first = len(rows.columns) - len(passed)
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = model.lexicon()
         *w, constant = model.weights
         for batch in batches:
             scores = [1 / (1 + math.exp(-max(-30.0, min(30.0, constant + sum(a * b for a, b in zip(w, features(t.as_py() or "", lexicon, model), strict=True)))))) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(scores, pa.float64())], [*batch.schema.names[first:], "score"])
 
     scored = rows.mapInArrow(apply, schema)
-    return scored.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*(F.col(n).alias(c) for c, n in names.items()), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,7 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
-from runmerge.llm import simhash
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from runmerge.llm import grams, repeats, simhash
 
 
 def plain(text, width=5):
@@ -29,19 +34,46 @@ def corpus(seed=5):
     return [" ".join(t) for t in texts] + ["", "one", "One", "a b c d e f g h", "a b c d e f g h i"]
 
 
-def test_no_pair_that_is_alike_misses_being_a_candidate():
-    texts = corpus()
-    sets = [simhash.shingles(t.encode(), 5) for t in texts]
-    rows = sorted(range(len(texts)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in rows])
-    first, words = simhash.parity_words(simhash.shell_of(int(sizes[-1]), 0.8), 0.8)
-    bits = np.frombuffer(b"".join(simhash.parities(sets[i], words) for i in rows), np.uint64).reshape(-1, words)
-    found = {frozenset((rows[i], rows[j])) for one, other in simhash.candidates(bits, sizes, np.ones(len(rows), bool), 0.8, first, simhash.Forest(len(rows))) for i, j in zip(one, other, strict=True)}
-    shingles = [plain(t) for t in texts]
-    needed = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if alike(shingles[i], shingles[j])}
-    assert len(needed) > 30 and needed <= found and len(found) < 4 * len(needed)
-    narrow = simhash.parities(sets[0], 4)
-    assert simhash.folded(simhash.parities(sets[0], 16), 4) == narrow
+def test_word_grams_are_those_of_the_words():
+    texts = [t.encode() for t in [*corpus(3), " a\t\x0bB  c\r\n", "\x1c a é", "\n", "x " * 9]]
+    for width, lower in ((5, True), (3, False)):
+        doc, word, h = grams.word_grams(texts, width, lower)
+        of = {}
+        for d, w, x in zip(doc.tolist(), word.tolist(), h.tolist(), strict=True):
+            ws = (texts[d].lower() if lower else texts[d]).split()
+            of.setdefault(tuple(ws[w : w + width]), set()).add(x)
+        assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+        assert sorted(zip(doc.tolist(), word.tolist(), strict=True)) == [(d, i) for d, t in enumerate(texts) for i in range(max(min(1, len(t.split())), len(t.split()) - width + 1))]
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_repeated_entries_are_gathered(spark, monkeypatch, chunk):
+    rng = random.Random(11)
+    rows = [(k - 3, " ".join(rng.choice(["hot", rng.choice("abcdefgh") * rng.randint(1, 40)]) for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(10**12, None)]
+
+    def entries(texts):
+        for i, t in enumerate(texts):
+            ws = (t.as_py() or b"").split()
+            yield np.full(len(ws), i), np.array([hash_of(w) for w in ws], np.uint64), np.arange(len(ws), dtype=np.uint32)
+            yield np.array([i]), np.zeros(1, np.uint64), np.array([len(ws)], np.uint32) | repeats.GIVEN
+
+    def finish(keys, hashes, values):
+        return pa.table({"key": keys, "h": hashes.view(np.int64), "v": values.astype(np.int64)})
+
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    monkeypatch.setattr(repeats, "RANGE", 4)
+    df = spark.createDataFrame(rows, "key bigint, text string").select("key", F.col("text").cast("binary").alias("text")).repartition(5, "key")
+    found = sorted((r["key"], r["v"]) for r in repeats.repeated(df, entries, finish, "key bigint, h bigint, v bigint", 0.5).collect())
+    words = [(k, i, w) for k, t in rows for i, w in enumerate((t or "").split())]
+    counts = Counter(w for _, _, w in words)
+    assert 1 in counts.values() and max(counts.values()) > 20
+    given = [(k, len((t or "").split()) + (1 << 31)) for k, t in rows]
+    assert found == sorted([(k, i) for k, i, w in words if counts[w] > 1] + given)
+    assert repeats.repeated(df.filter("false"), entries, finish, "key bigint, h bigint, v bigint", 0.5).collect() == []
+
+
+def hash_of(word):
+    return xxhash.xxh64_intdigest(word)
 
 
 def test_near_copies_are_those_at_the_similarity_and_no_others(spark, tmp_path):
@@ -56,7 +88,36 @@ def test_near_copies_are_those_at_the_similarity_and_no_others(spark, tmp_path):
                 if least[i] != least[j] and alike(sets[i], sets[j]):
                     least[i] = least[j] = min(least[i], least[j])
     wanted = {i: v for i, v in enumerate(least) if v != i}
-    for sizes in ({}, {"shard": 10, "together": 500}):
+    for sizes in ({}, {"together": 500}):
         assert {r["u"]: r["v"] for r in simhash.near_copies(spark.read.parquet(path), "k", **sizes).collect()} == wanted
     close = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j]]
     assert any(0.8 <= x < 0.85 for x in close) and any(0.7 < x < 0.8 for x in close)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_near_copies_of_the_documents_against_brute_force(spark, sf):
+    """Every pair of texts with a shingle in common, counted exactly; the links must be all those at 0.8 and no others."""
+    from runmerge.llm.common import row_ids
+
+    rows = row_ids(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).select("_row", "text")
+    sets = {r["_row"]: plain(r["text"] or "") or {()} for r in rows.collect()}
+    holders = {}
+    for k, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    least = {k: k for k in sets}
+
+    def find(k):
+        while least[k] != k:
+            least[k] = least[least[k]]
+            k = least[k]
+        return k
+
+    common = Counter((a, b) for ks in holders.values() for i, a in enumerate(sorted(ks)) for b in sorted(ks)[i + 1 :])
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            a, b = sorted((find(a), find(b)))
+            least[b] = a
+    wanted = {k: find(k) for k in sets if find(k) != k}
+    assert len(wanted) > 10
+    assert {r["u"]: r["v"] for r in simhash.near_copies(rows, "_row").collect()} == wanted

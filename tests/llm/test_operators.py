@@ -217,7 +217,7 @@ def test_near_copies(spark):
     words = base[1].split()
     words[100] = "changed"
     rows = [(i, t) for i, t in enumerate([*base, " ".join(words), base[3] + " tail", None, "", "one"])]
-    got = {r["u"]: r["v"] for r in simhash.near_copies(spark.createDataFrame(rows, "k bigint, text string"), "k", shard=2).collect()}
+    got = {r["u"]: r["v"] for r in simhash.near_copies(spark.createDataFrame(rows, "k bigint, text string"), "k", together=2).collect()}
     assert got == {4: 1, 5: 3, 7: 6}
 
 
