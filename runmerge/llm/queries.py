@@ -13,7 +13,7 @@ from .common import read
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "repeats_passage")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

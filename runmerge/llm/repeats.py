@@ -15,7 +15,6 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 CHUNK = 1 << 20  # entries that are sorted at a time
 RANGE = 1 << 18  # entries of a range, about, and of the rows that are gathered together
@@ -63,15 +62,15 @@ def _by_bucket(entries: Entries, n: int) -> tuple[list[int], list[list[bytes]]]:
     return _dealt(tuple(x[order] for x in entries), to[order])
 
 
-def repeated(rows: DataFrame, entries: Callable[[pa.Array], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]], finish: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, a_byte: float) -> DataFrame:
-    """What ``finish`` makes of the repeated entries of ``rows`` (``key bigint, text binary``).
+def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterable[Entries]], finish: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, expected: int) -> DataFrame:
+    """What ``finish`` makes of the repeated entries of ``rows``, whose first column is ``key bigint``.
 
-    ``entries`` yields, for a batch of texts, arrays of place of text, hash and value (below 2^31, or with ``GIVEN``); a text
+    ``entries`` yields, for a batch of rows, arrays of place in the batch, hash and value (below 2^31, or with ``GIVEN``); a row
     may give a hash several times. ``finish`` gets keys, hashes and values of all repeated and given entries of
-    some rows, all those of a row at once, in order of key and value. ``a_byte`` is how many entries a byte of text has, about.
+    some rows, all those of a row at once, in order of key and value. ``expected`` is the number of entries, about; it
+    sets how many ranges there are.
     """
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    bits = max(5, ceil(log2(max(1.0, size * a_byte / RANGE))))
+    bits = max(5, ceil(log2(max(1.0, expected / RANGE))))
     ranges = 1 << bits
 
     def send(held: list[Entries]) -> pa.RecordBatch:
@@ -93,7 +92,7 @@ def repeated(rows: DataFrame, entries: Callable[[pa.Array], Iterable[tuple[np.nd
         held, n = [], 0
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for doc, h, value in entries(batch.column(1)):
+            for doc, h, value in entries(batch):
                 held.append((h, keys[doc], value.astype(np.uint32)))
                 n += len(h)
                 if n >= CHUNK:
@@ -119,5 +118,5 @@ def repeated(rows: DataFrame, entries: Callable[[pa.Array], Iterable[tuple[np.nd
         return finish(k[order], h[order], v[order])
 
     packed = "hashes binary, keys binary, values binary"
-    found = rows.select("key", "text").mapInArrow(spread, f"part int, {packed}").groupBy("part").applyInArrow(match, f"bucket int, {packed}")
+    found = rows.mapInArrow(spread, f"part int, {packed}").groupBy("part").applyInArrow(match, f"bucket int, {packed}")
     return found.groupBy("bucket").applyInArrow(gather, schema)

@@ -51,8 +51,8 @@ def test_repeated_entries_are_gathered(spark, monkeypatch, chunk):
     rng = random.Random(11)
     rows = [(k - 3, " ".join(rng.choice(["hot", rng.choice("abcdefgh") * rng.randint(1, 40)]) for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(10**12, None)]
 
-    def entries(texts):
-        for i, t in enumerate(texts):
+    def entries(batch):
+        for i, t in enumerate(batch.column("text")):
             ws = (t.as_py() or b"").split()
             yield np.full(len(ws), i), np.array([hash_of(w) for w in ws], np.uint64), np.arange(len(ws), dtype=np.uint32)
             yield np.array([i]), np.zeros(1, np.uint64), np.array([len(ws)], np.uint32) | repeats.GIVEN
@@ -63,13 +63,13 @@ def test_repeated_entries_are_gathered(spark, monkeypatch, chunk):
     monkeypatch.setattr(repeats, "CHUNK", chunk)
     monkeypatch.setattr(repeats, "RANGE", 4)
     df = spark.createDataFrame(rows, "key bigint, text string").select("key", F.col("text").cast("binary").alias("text")).repartition(5, "key")
-    found = sorted((r["key"], r["v"]) for r in repeats.repeated(df, entries, finish, "key bigint, h bigint, v bigint", 0.5).collect())
+    found = sorted((r["key"], r["v"]) for r in repeats.repeated(df, entries, finish, "key bigint, h bigint, v bigint", 500).collect())
     words = [(k, i, w) for k, t in rows for i, w in enumerate((t or "").split())]
     counts = Counter(w for _, _, w in words)
     assert 1 in counts.values() and max(counts.values()) > 20
     given = [(k, len((t or "").split()) + (1 << 31)) for k, t in rows]
     assert found == sorted([(k, i) for k, i, w in words if counts[w] > 1] + given)
-    assert repeats.repeated(df.filter("false"), entries, finish, "key bigint, h bigint, v bigint", 0.5).collect() == []
+    assert repeats.repeated(df.filter("false"), entries, finish, "key bigint, h bigint, v bigint", 500).collect() == []
 
 
 def hash_of(word):

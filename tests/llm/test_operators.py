@@ -76,11 +76,12 @@ def test_misra_gries(spark):
     assert {b"hot", b"warm"} <= set(found) and len(found) <= 12 and 500 - 1000 / 13 <= found[b"hot"] <= 500
 
 
-def test_induced_sorting_in_memory_and_on_disk():
-    rng = random.Random(3)
-    for _ in range(40):
+@pytest.mark.parametrize("limit", [3, 20, 10**6])
+def test_induced_sorting_in_memory_and_on_disk(limit):
+    rng = random.Random(limit)
+    for _ in range(60):
         pick = lambda: bytes(rng.choice(b"ab") for _ in range(rng.choice([7, 7, 3, 0])))
-        items = sorted({(rng.randint(0, 2), pick(), pick()) for _ in range(rng.randint(1, 50))})
+        items = sorted({(rng.randint(0, 2), pick(), pick()) for _ in range(rng.randint(1, 70))})
         group, right, left = np.array([x[0] for x in items]), [x[1] for x in items], [x[2] for x in items]
         count = np.array([rng.choice([1, 1, 2]) for _ in items])
         expected = np.zeros((len(items), 8), bool)
@@ -91,11 +92,28 @@ def test_induced_sorting_in_memory_and_on_disk():
                     seen.setdefault((g, l[len(l) - level :], r[: 7 - level]), []).append(i)
             for same in seen.values():
                 expected[same, level] = count[same].sum() > 1
-        assert (suffix_dedup.repeats(group, left, right, count, 5, 12) == expected).all()
-        for g in set(group.tolist()):
-            m = np.flatnonzero(group == g)
-            found = suffix_dedup.repeats_on_disk([left[i] for i in m], [right[i] for i in m], count[m], 5, 12, limit=rng.choice([3, 1000]), chunk=rng.choice([2, 5, 100]))
-            assert (found == expected[m]).all()
+        held = suffix_dedup.Seeds(7, limit)
+        made = suffix_dedup.make_seeds(group, left, right, count, 7)
+        for a in range(0, len(made), 9):
+            held.add(made[a : a + 9])
+        assert (held.all() == made).all()
+        assert (suffix_dedup.induce(held.all(), 5, 12, limit=limit, chunk=rng.choice([2, 5, 100])) == expected).all()
+
+
+def test_passages_that_repeat_in_another_text(spark, tmp_path):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    just, under, long = [w[:3] for w in words(51)], words(50), words(400)
+    rows = {
+        1: words(30) + just + words(80), 2: just, 3: words(9) + just + words(1),
+        4: words(70) + under + words(70), 5: words(60) + under + words(3), 6: under, 7: words(500),
+        8: words(100) + long, 9: long[100:300] + words(5), 10: (w := words(60)) + w, 11: words(51), 12: [],
+    }
+    path = str(tmp_path / "d.parquet")
+    glue = {2: "\n\t", 9: "  "}
+    spark.createDataFrame([(i, glue.get(i, " ").join(x)) for i, x in rows.items()], "doc_id bigint, text string").repartition(3).write.parquet(path)
+    got = suffix_dedup.repeated_spans(spark.read.parquet(path)).collect()
+    assert {r["doc_id"] for r in got if r["repeats_passage"]} == {1, 2, 3, 8, 9} and len(got) == len(rows)
 
 
 def test_self_overlap_and_document_borders(spark, tmp_path):
