@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD
@@ -30,32 +30,30 @@ def duplicate_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")
 
 
-def _windows(ws: Column) -> Column:
-    return F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1))
+def with_repeat_words(df: DataFrame, ws: str, name: str) -> DataFrame:
+    """Adds ``name``: the words in windows of eight that occur twice or more, the first included.
 
-
-def has_repeats(ws: Column) -> Column:
-    """False only if no window of eight words occurs twice (equal windows have equal hashes)."""
-    hashes = F.transform(_windows(ws), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
-    return F.when(F.size(ws) > WINDOW, F.size(F.array_distinct(hashes)) < F.size(ws) - (WINDOW - 1)).otherwise(False)
-
-
-def repeat_words(ws: Column, repeats: Column) -> Column:
-    """Words in windows of eight that occur twice or more, the first included.
-
-    Windows are sorted with their places, those equal to a neighbour are put back in order of place, and each
-    adds the words up to the next one, eight at most.
+    Words are hashed once and windows by the hashes of their words, so two windows count as equal if 64 bits are.
+    Windows are sorted by hash with their places, those equal to a neighbour are put back in order of place, and each
+    adds the words up to the next one, eight at most. Only texts with equal windows are sorted. Each step is
+    a column of its own, as a lambda would compute again for every element what it refers to.
     """
-    sorted_ = F.sort_array(F.transform(_windows(ws), lambda i: F.struct(F.array_join(F.slice(ws, i, WINDOW), " ").alias("w"), i.alias("i"))))
-    twice = F.transform(
-        F.arrays_zip(sorted_.alias("a"), F.concat(F.array(F.lit(None).cast("struct<w:string,i:int>")), F.slice(sorted_, F.lit(1), F.size(sorted_) - 1)).alias("b"), F.concat(F.slice(sorted_, F.lit(2), F.size(sorted_)), F.array(F.lit(None).cast("struct<w:string,i:int>"))).alias("c")),
-        lambda z: F.when(F.coalesce(z["a"]["w"] == z["b"]["w"], F.lit(False)) | F.coalesce(z["a"]["w"] == z["c"]["w"], F.lit(False)), z["a"]["i"]),
-    )
-    places = F.sort_array(F.array_compact(twice))
+    h, windows, equal, in_order, places = (F.col(f"{name}_{x}") for x in "hwesp")
+    starts = F.when(F.size(ws) >= WINDOW, F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+    same = lambda e, i: F.coalesce(F.get(in_order, i)["x"] == e["x"], F.lit(False))
+    twice = F.transform(in_order, lambda e, i: F.when(same(e, i - 1) | same(e, i + 1), e["i"]))
     covered = F.aggregate(
         places,
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
         lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n")),
         lambda s: s["n"],
     )
-    return F.when(repeats, covered).otherwise(F.lit(0)).cast("bigint")
+    return (
+        df.withColumn(f"{name}_h", F.transform(ws, lambda w: F.xxhash64(w)))
+        .withColumn(f"{name}_w", F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+        .withColumn(f"{name}_e", F.size(F.array_distinct(windows)) < F.size(windows))
+        .withColumn(f"{name}_s", F.when(equal, F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
+        .withColumn(f"{name}_p", F.sort_array(F.array_compact(twice)))
+        .withColumn(name, F.coalesce(covered, F.lit(0)).cast("bigint"))
+        .drop(*(f"{name}_{x}" for x in "hwesp"))
+    )
