@@ -382,7 +382,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     masks = seeds.mapInArrow(induced, "id1 bigint, id2 bigint, mask binary")
     covered = seen.select("row", "at", *identity).join(masks, ["id1", "id2"]).groupBy("row").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    passages = repeated(joined.select(F.col("row").alias("key"), "text", "words"), compared, lambda keys, _, __: pa.table({"passage": np.unique(keys)}), "passage bigint", size // 60)
+    passages = repeated(joined.withColumnRenamed("row", "key"), compared, lambda keys, _, __: pa.table({"passage": np.unique(keys)}), "passage bigint", size // 60)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
