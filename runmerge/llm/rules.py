@@ -24,7 +24,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊÑÓ"
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 VECTOR = ("x1", "x2", "x3")
-SALTS = 32  # parts of a pool
+FEW = 20_000  # pools whose rows (numbers of 200 bytes) are sent to all tasks
+SALTS = 32  # parts of a pool, where pools are more
 BINS = 64  # bins of a unit of log distance
 CUT_OFF = 25.9  # of normal rows, 1 in 100,000 has a larger squared distance (chi-square on three axes)
 
@@ -90,10 +91,6 @@ def _distance() -> Column:
     return F.greatest(quadratic / _determinant(), F.lit(0.0))
 
 
-def _for_each_salt(pools: DataFrame) -> DataFrame:
-    return pools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _first_bin(counts: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
     """For each key, the first bin at which ``share`` of its rows are reached. ``counts``: keys, bin, n."""
     up_to = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -109,12 +106,19 @@ def _log_bin() -> Column:
     return F.floor(F.log(F.col("d2") + 1e-9) * BINS)
 
 
-def robust_estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 30, floor: float = 1e-4) -> DataFrame:
+def _with_pools(rows: DataFrame, pools: DataFrame, on: list[str], n: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with their row of ``pools``, of which there are ``n``: sent to all tasks if those are ``FEW``, else dealt by salt."""
+    if n <= FEW:
+        return rows.join(F.broadcast(pools), on, how)
+    return rows.join(pools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"], how)
+
+
+def robust_estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 20, floor: float = 1e-4) -> DataFrame:
     """``pool, m0.., c00.., scale``: the minimum-covariance-determinant estimate of each pool of ``rows`` (``pool, x1, x2, x3``).
 
-    Both starts go on until no pool's subset changes, ``most_steps`` at most. A column ``salt`` below ``SALTS`` that a retried task
-    gives again deals the rows of a pool; without it, it is made from the vector. A step is one pass: rows are joined with their
-    pool's estimate and summed by bin of distance, and sums are added up to the bin that has the share.
+    Both starts go on until no pool's determinant changes by a thousandth, ``most_steps`` at most. A column ``salt`` below ``SALTS``
+    that a retried task gives again deals the rows of a pool; without it, it is made from the vector. A step is one pass: rows are
+    joined with their pool's estimate and summed by bin of distance, and sums are added up to the bin that has the share.
     """
     if "salt" not in rows.columns:
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("pool", *VECTOR), F.lit(SALTS)).cast("int"))
@@ -127,30 +131,30 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 30,
     )
     zero = F.lit(0.0)
     at = lambda axis, column: F.max(F.when(F.col("axis") == axis, F.col(column)))
+    numbers = ["pool", "start", *(f"m{i}" for i in range(3)), *(f"c{i}{j}" for i, j in PAIRS)]
     medians = middle.join(spread, ["pool", "axis"]).groupBy("pool").agg(
         *((at(i, "middle") + 0.5).alias(f"b{i}") for i in range(3)), *((at(i, "spread") + 0.5).alias(f"s{i}") for i in range(3))
     ).select(
         "pool", F.lit(0).alias("start"), *((F.col(f"b{i}") / (4 * BINS)).alias(f"m{i}") for i in range(3)),
         *((F.col(f"s{i}") * 1.4826 / (4 * BINS)) ** 2 + floor if i == j else zero for i, j in PAIRS),
-    ).toDF("pool", "start", *(f"m{i}" for i in range(3)), *(f"c{i}{j}" for i, j in PAIRS))
+    ).toDF(*numbers)
     plain = _estimated(rows.groupBy("pool").agg(*_sums()).withColumn("start", F.lit(1)), ["pool", "start"], floor)
-    estimate, before = cut(medians.unionByName(plain)), None
+    estimate = cut(medians.unionByName(plain).withColumn("volume", F.log(_determinant())))
+    n = estimate.count()
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     up_to = Window.partitionBy("pool", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(most_steps):
-        placed = both.join(_for_each_salt(estimate.select("pool", "start", *(f"m{i}" for i in range(3)), *(f"c{i}{j}" for i, j in PAIRS))), ["pool", "start", "salt"])
-        bins = placed.withColumn("d2", _distance()).groupBy("pool", "start", _log_bin().alias("bin")).agg(*_sums())
+        placed = _with_pools(both, estimate.select(*numbers, F.col("volume").alias("was")), ["pool", "start"], n)
+        bins = placed.withColumn("d2", _distance()).groupBy("pool", "start", _log_bin().alias("bin")).agg(*_sums(), F.max("was").alias("was"))
         ahead, all_ = F.coalesce(F.sum("n").over(up_to), F.lit(0)), F.sum("n").over(Window.partitionBy("pool", "start"))
         inside = bins.withColumn("ahead", ahead).withColumn("all", all_).filter(F.col("ahead") < F.col("all") * share)
-        sums = inside.groupBy("pool", "start").agg(*(F.sum(c).alias(c) for c in SUMS), F.max("bin").alias("edge"))
-        estimate = cut(_estimated(sums, ["pool", "start"], floor, "n", "edge").withColumn("determinant", _determinant()))
-        state = estimate.agg(F.bit_xor(F.xxhash64("pool", "start", "n", "edge", F.round(F.log("determinant"), 6)))).first()[0]
-        if state == before:
+        sums = inside.groupBy("pool", "start").agg(*(F.sum(c).alias(c) for c in SUMS), F.max("was").alias("was"))
+        estimate = cut(_estimated(sums, ["pool", "start"], floor, "was").withColumn("volume", F.log(_determinant())))
+        if (estimate.agg(F.max(F.abs(F.col("volume") - F.col("was")))).first()[0] or 0.0) < 1e-3:
             break
-        before = state
-    best = Window.partitionBy("pool").orderBy(F.round(F.log("determinant"), 6), "start")
-    estimate = estimate.withColumn("best", F.row_number().over(best)).filter("best = 1").drop("best", "determinant", "start", "n", "edge")
-    counts = rows.join(_for_each_salt(estimate), ["pool", "salt"]).withColumn("d2", _distance()).groupBy("pool", _log_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("pool").orderBy(F.round("volume", 3), "start")
+    estimate = cut(estimate.withColumn("best", F.row_number().over(best)).filter("best = 1").drop("best", "volume", "was", "start"))
+    counts = _with_pools(rows, estimate, ["pool"], n).withColumn("d2", _distance()).groupBy("pool", _log_bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # 2.366 is the median of the squared distance of normal rows on three axes
     return cut(estimate.join(_first_bin(counts, ["pool"], 0.5, "half"), "pool").withColumn("scale", F.greatest(F.exp((F.col("half") + 0.5) / BINS) / 2.366, F.lit(1e-6))).drop("half"))
 
@@ -186,11 +190,11 @@ def quality_rules(
     even = F.sqrt(F.col("n_words") / (F.col("n_words") + even_words))
     rate = lambda c, over: F.col(c) / F.col(over) if c.endswith("word_chars") else F.log(F.col(c) / F.col(over) + 0.1)
     x = {name: (rate(c, "n_words") - rate(f"t{c}", "tn_words")) * even for name, c in zip(VECTOR, sums[1:], strict=True)}
-    passed = raw.filter(~F.col("base_failed")).join(_for_each_salt(pooled), ["_lang", "_source", "salt"]).withColumns(x)
+    passed = _with_pools(raw.filter(~F.col("base_failed")), pooled, ["_lang", "_source"], pooled.count()).withColumns(x)
     estimates = robust_estimates(passed.filter(F.col("pool_rows") >= least_rows).select("pool", "salt", *VECTOR), share)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = (
-        passed.filter("own").join(_for_each_salt(estimates), ["pool", "salt"], "left")
+        _with_pools(passed.filter("own"), estimates, ["pool"], estimates.count(), "left")
         .withColumn("distance", _distance() / F.col("scale"))
         .select(*out, F.coalesce(F.col("distance") <= cut_off, F.lit(True)).alias("kept"), "distance")
     )
