@@ -3,7 +3,8 @@
 Texts are reduced to a SHA-256 of their normalised form. A Misra-Gries summary of every partition finds the
 digests that may be frequent; an exact count verifies them; the at most ``k`` winners are broadcast and settle
 their rows where they are, so that a text with a third of all rows is never shuffled. What is left has at most
-``2 n / k`` rows a digest and goes through an ordinary shuffle.
+``2 n / k`` rows a digest and goes through an ordinary shuffle: digests are summed up, so that a task sends one row for
+each, and joined back, where Spark may split a digest of many rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, whole
@@ -57,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they are identical after each run of white space became one space. Of equal texts the
     row with the smallest id stays. A null text counts as empty. A null id is larger than any other; of rows
-    with equal text and equal id exactly one stays (the smallest by ``carry``). An empty table gives none. Other
+    with equal text and equal id exactly one stays, the first in the order of reading. An empty table gives none. Other
     columns of ``docs`` are not read, whatever their names.
     """
     names = [f"_c{i}" for i in range(len(carry))]
@@ -66,20 +67,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col(id_col).alias("doc_id"),
             F.unhex(F.sha2(F.regexp_replace(whole(text_col), f"{SPACE}+", " "), 256)).alias("digest"),
             *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
-    frequent = misra_gries(digests, "digest", k).select(F.col("value").alias("digest"))  # k rows at most
-    winners = digests.join(F.broadcast(frequent), "digest").groupBy("digest").agg(F.min("doc_id").alias("w_keep"), F.count(F.lit(1)).alias("w_size"))
-    marked = digests.join(F.broadcast(winners), "digest", "left")
-    settled = F.col("w_size").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("w_keep"))
-    out = lambda keep, size, kept: [F.col("doc_id"), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True))]
-    group = Window.partitionBy("digest")
-    first = group.orderBy(F.col("doc_id").asc_nulls_last(), *names)
-    rest = marked.filter(~settled).select(
-        "*", F.min("doc_id").over(group).alias("keep"), F.count(F.lit(1)).over(group).alias("size"), F.row_number().over(first).alias("rank")
-    )
-    return (
-        marked.filter(settled)
-        .select(*out(F.col("w_keep"), F.col("w_size"), F.lit(False)))
-        .union(rest.select(*out(F.col("keep"), F.coalesce("w_size", "size"), F.col("rank") == 1)))
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    groups = lambda rows: rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
+    frequent = F.broadcast(cut(misra_gries(digests, "digest", k).select(F.col("value").alias("digest"))))  # k rows at most
+    winners = groups(digests.join(frequent, "digest"))
+    others = digests.join(frequent, "digest", "left_anti")
+    found = digests.join(F.broadcast(winners), "digest").unionByName(others.join(groups(others), "digest"))
+    return found.select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        *(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)),
+    )
