@@ -69,11 +69,10 @@ def mix_sources(
     none. Other columns of ``docs`` are not read.
     """
     names = [f"_c{i}" for i in range(len(carry))]
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(whole(text_col).cast("binary"))).cast("binary"))
     rows = cut(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), F.xxhash64(F.col(text_col)).alias("tie"),
-            F.regexp_count(whole(text_col), F.lit(WORD)).cast("bigint").alias("size"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)),
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), F.regexp_count(whole(text_col), F.lit(WORD)).cast("bigint").alias("size"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)),
         ).withColumn("bucket", F.substring("key", 1, 3))
     )
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -84,7 +83,7 @@ def mix_sources(
         .join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
         .select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "start", "source_size", "target", "budget")
     )
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tie", *names).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", *names).rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("bigint")
     return (
         rows.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -100,7 +99,7 @@ def mix_sources(
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k,
              CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS r FROM s),
