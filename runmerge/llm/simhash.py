@@ -155,49 +155,86 @@ def link(fps: np.ndarray, home: np.ndarray, shift: int, radius: int, small: int
     return forest
 
 
-def near_links(distinct: DataFrame, n: int, radius: int, shard: int = 16384, sample: int = 16384) -> DataFrame:
-    """Links ``u, v`` that connect whatever fingerprints in ``distinct`` (column ``fp``, ``n`` rows) are within ``radius`` bits.
+def vantage_by_rule(leaf: int, path: int) -> int:
+    return xxhash.xxh32_intdigest(path.to_bytes(8, "little") + leaf.to_bytes(4, "little"))
+
+
+def deeper(leaf: int, levels: int, values: np.ndarray, radius: int, rows: np.ndarray, home: np.ndarray, path: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(path, rows, home)`` for each node that rows visit ``levels`` below a leaf, where vantage points follow from the path.
+
+    Bits of fingerprints are nearly random, so about half of whatever is there lies within 16 bits of any point.
+    """
+    if not levels or not len(rows):
+        yield path, rows, home
+        return
+    d = distances(values[rows], vantage_by_rule(leaf, path))
+    near, far = d <= 16 + radius, d > 16 - radius
+    yield from deeper(leaf, levels - 1, values, radius, rows[near], home[near] & (d[near] <= 16), 2 * path)
+    yield from deeper(leaf, levels - 1, values, radius, rows[far], home[far] & (d[far] > 16), 2 * path + 1)
+
+
+def deal(distinct: DataFrame, n: int, radius: int, shard: int, sample: int) -> tuple[DataFrame, int]:
+    """``leaf, path, part, fp, home``: every fingerprint in the shards where it is at home and those it visits; and the first leaf of the second tree.
 
     The tops of the trees are fitted to ``sample`` fingerprints at most, spread by hash; every fingerprint is
-    dealt and compared. ``shard`` is about how many are at home in a shard; a leaf with more homes is dealt to
-    several shards, all of which get its visitors.
+    dealt. A leaf with more homes than a shard should have goes on by rule, as deep as its number of homes asks for, so what
+    the driver knows of the tree doesn't grow with the data. A shard that is still crowded, as its halves are alike, is
+    dealt to several parts, all of which get its visitors.
     """
     some = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64)
     depth = max(0, ceil(np.log2(max(1, n / shard))))
     trees = [build(half(some, s), depth) for s in HALVES]
     firsts = [0, n_leaves(trees[0])]
-    reach = radius // 2
+    levels: dict[int, int] = {}
+    parts: dict[tuple[int, int], int] = {}
+
+    def shards(fps: np.ndarray, reach: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for tree, s, first in zip(trees, HALVES, firsts, strict=True):
+            values = half(fps, s)
+            for leaf, rows, home in descend(tree, values, reach, np.arange(len(fps)), np.ones(len(fps), bool), first)[0]:
+                for path, rows_, home_ in deeper(leaf, levels.get(leaf, 0), values, reach, rows, home):
+                    if len(rows_):
+                        yield leaf, path, rows_, home_
 
     def homes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            for tree, s, first in zip(trees, HALVES, firsts, strict=True):
-                found, _ = descend(tree, half(fps, s), 0, np.arange(len(fps)), np.ones(len(fps), bool), first)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int32()), pa.array([int(h.sum()) for _, _, h in found], pa.int64())], ["leaf", "n"])
+            found = [(leaf, path, int(home.sum())) for leaf, path, _, home in shards(batch.column(0).to_numpy(), 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["leaf", "path", "n"])
 
-    # a row for each leaf at most
-    parts = {r["leaf"]: ceil(r["n"] / (4 * shard)) for r in distinct.mapInArrow(homes, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    counted = lambda: distinct.mapInArrow(homes, "leaf int, path bigint, n bigint").groupBy("leaf", "path").agg(F.sum("n").alias("n"))
+    # a row for each leaf of the fitted tops at most
+    levels |= {r["leaf"]: ceil(np.log2(r["n"] / shard)) for r in counted().filter(F.col("n") > 2 * shard).collect()}
+    # none, unless very many different fingerprints have one half in common
+    parts |= {(r["leaf"], r["path"]): ceil(r["n"] / (4 * shard)) for r in counted().filter(F.col("n") > 4 * shard).collect()} if levels else {}
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
-            for tree, s, first in zip(trees, HALVES, firsts, strict=True):
-                for leaf, rows, home in descend(tree, half(fps, s), reach, np.arange(len(fps)), np.ones(len(fps), bool), first)[0]:
-                    k = parts.get(leaf, 1)
-                    for p in range(k):
-                        own = home & ((fps[rows].view(np.uint64) % np.uint64(k)) == p) if k > 1 else home
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), leaf), pa.int32()), pa.array(np.full(len(rows), p), pa.int32()), pa.array(fps[rows]), pa.array(own)], ["leaf", "part", "fp", "home"]
-                        )
+            for leaf, path, rows, home in shards(fps, radius // 2):
+                k = parts.get((leaf, path), 1)
+                for p in range(k):
+                    own = home & ((fps[rows].view(np.uint64) % np.uint64(k)) == p) if k > 1 else home
+                    same = [pa.array(np.full(len(rows), x), kind) for x, kind in ((leaf, pa.int32()), (path, pa.int64()), (p, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(fps[rows]), pa.array(own)], ["leaf", "path", "part", "fp", "home"])
+
+    return distinct.mapInArrow(dealt, "leaf int, path bigint, part int, fp bigint, home boolean"), firsts[1]
+
+
+def near_links(distinct: DataFrame, n: int, radius: int, shard: int = 16384, sample: int = 16384) -> DataFrame:
+    """Links ``u, v`` that connect whatever fingerprints in ``distinct`` (column ``fp``, ``n`` rows) are within ``radius`` bits.
+
+    ``shard`` is about how many are at home in a shard, ``sample`` how many at most the tops of the trees are fitted to.
+    """
+    shards, second = deal(distinct, n, radius, shard, sample)
 
     def links(group: pa.Table) -> pa.Table:
         fps, home = group.column("fp").to_numpy(), group.column("home").to_numpy()
-        shift = HALVES[int(group.column("leaf")[0].as_py() >= firsts[1])]
+        shift = HALVES[int(group.column("leaf")[0].as_py() >= second)]
         roots = (forest := link(fps, home, shift, radius)).roots(np.arange(len(forest.parent)))
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"u": fps[linked], "v": fps[roots[linked]]})
 
-    return distinct.mapInArrow(deal, "leaf int, part int, fp bigint, home boolean").groupBy("leaf", "part").applyInArrow(links, "u bigint, v bigint")
+    return shards.groupBy("leaf", "path", "part").applyInArrow(links, "u bigint, v bigint")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, carry: Sequence[str] = ()) -> DataFrame:
@@ -223,7 +260,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-TOGETHER = 1 << 21  # shingles of a component's texts in a part, two of which meet in a task
+TOGETHER = 1 << 19  # shingles of a component's texts in a part, two of which may meet in a task
 
 
 def distinct_shingles(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -343,18 +380,58 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
     links = heads.join(least, F.col("hash") == F.col("h")).select(F.col("key").alias("u"), "v")
     tree = components(links.unionByName(found.filter("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))))
 
+    sets = found.filter("hashes is not null").select("key", "n", "hashes")
+    members = tree.select(F.col("u").alias("key"), F.col("v").alias("tree")).unionByName(tree.select(F.col("v").alias("key"), F.col("v").alias("tree")).distinct()).join(sets, "key")
+    return linked_members(cut(members), similarity, together)
+
+
+def linked_members(members: DataFrame, similarity: float, together: int) -> DataFrame:
+    """``u, v``: for each text but the first of its group, its key and the first one's, of ``members`` (``key, tree, n, hashes``).
+
+    Texts of a tree are compared in parts of about ``together`` shingles. That is all for a tree of one part. In a larger one
+    the first texts of the groups found so far are compared with one another, by pairs of parts; mostly that leaves one group.
+    Where it doesn't, all texts outside a tree's largest group are compared with all its parts: what a tree of copies costs
+    grows with its texts, not with their pairs.
+    """
+
     def verify(group: pa.Table) -> pa.Table:
+        group = group.sort_by("key")
         keys = group.column("key").to_numpy()
         sets = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("hashes")]
         roots = link_alike(sets, group.column("n").to_numpy(), similarity)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
 
-    sets = found.filter("hashes is not null").select("key", "n", "hashes")
-    members = tree.unionByName(tree.select(F.col("v").alias("u"), "v").distinct()).join(sets, F.col("u") == F.col("key"))
-    parts = members.groupBy("v").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * together)).cast("int").alias("parts")).select(F.col("v").alias("tree"), "parts")
-    members = members.join(parts, F.col("v") == F.col("tree")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    def compared(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.select("key", "n", "hashes", "tree", *by).groupBy("tree", *by).applyInArrow(verify, "u bigint, v bigint")
+
+    def parted(rows: DataFrame, part: str) -> DataFrame:
+        """``rows`` with a part for each, and how many parts its tree has."""
+        number = rows.groupBy("tree").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * together)).cast("int").alias(f"{part}s"))
+        return rows.join(number, "tree").withColumn(part, F.pmod(F.xxhash64("key"), F.col(f"{part}s")).cast("int"))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        return links.select(F.col("u").alias("key"), F.col("v").alias("first"))
+
+    members = parted(members, "part")
+    links = cut(compared(members, "part"))
+    large = members.filter("parts > 1")
+    if large.isEmpty():
+        return links
+    firsts = parted(large.drop("part", "parts").join(links.select(F.col("u").alias("key")), "key", "left_anti"), "i")
     # each part meets every other one, or itself if it is all
-    meets = F.expr("filter(sequence(0, parts - 1), j -> parts = 1 or j != i)")
-    members = members.withColumn("j", F.explode(meets)).select("key", "n", "hashes", "tree", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    return components(members.groupBy("tree", "a", "b").applyInArrow(verify, "u bigint, v bigint"))
+    pairs = firsts.withColumn("j", F.explode(F.expr("filter(sequence(0, `is` - 1), j -> `is` = 1 or j != i)")))
+    pairs = pairs.withColumn("a", F.least("i", "j")).withColumn("b", F.greatest("i", "j"))
+    links = components(links.unionByName(compared(pairs, "a", "b")))
+    of_group = cut(large.join(grouped(links), "key", "left").withColumn("first", F.coalesce("first", "key")))
+    sizes = of_group.groupBy("tree", "first").agg(F.sum("n").alias("size"))
+    largest = sizes.groupBy("tree").agg(F.max_by("first", F.struct("size", "first")).alias("largest"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("tree", "largest")
+    outside = of_group.join(largest, "tree").filter("first != largest").select("key", "tree", "n", "hashes", "parts")
+    if outside.isEmpty():
+        return links
+    outside = parted(outside, "piece").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pieces = outside.select("tree", "pieces").distinct()
+    inside = of_group.join(pieces, "tree").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    columns = ["key", "n", "hashes", "tree", "part", "piece"]
+    across = compared(inside.select(columns).unionByName(outside.select(columns)), "part", "piece")
+    return components(links.unionByName(across))
