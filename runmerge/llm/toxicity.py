@@ -30,8 +30,8 @@ SEEDS = "idiot moron imbecile stupid dumb clown loser pathetic scum trash garbag
 REPORTS = frozenset("said says say called calls wrote writes quote quoted quotes word words term terms phrase reads".split())
 ADDRESS = frozenset("you your yours yourself are this these such".split())
 QUOTES = "\"“”„«»‘’"
-#: Bounds: labelled rows, lexicon terms, look-alikes that are ordinary words, states kept, words kept.
-SAMPLE, TERMS, ORDINARY, STATES, CACHE = 20_000, 4096, 4096, 50_000, 300_000
+#: Bounds: labelled rows; states and words that a worker keeps.
+SAMPLE, STATES, CACHE = 20_000, 50_000, 300_000
 TELLING = 8.0  # evidence that makes a word a term, about as four toxic texts of four
 LEAST_LENGTH = 5  # of terms that a lexicon matches with an edit unless told otherwise
 SHORT = 4  # the same in a model's lexicon
@@ -73,8 +73,6 @@ class Lexicon:
                 nodes |= {(n, 1) for n in self.children[node].values() if self.fuzzy[n]}
         key = frozenset(n for n in nodes if not (n[1] and (n[0], 0) in nodes))
         if key not in self.states:
-            if len(self.states) >= STATES:
-                self.states.clear()
             self.states[key] = {None: key}
         return self.states[key]
 
@@ -91,6 +89,9 @@ class Lexicon:
         return state[letter]
 
     def search(self, word: str) -> tuple[str, int] | None:
+        if len(self.states) >= STATES:  # with the start all others are forgotten
+            self.states.clear()
+            self.start = self._state({(0, 0)})
         state = self.start
         for letter in word:
             state = state.get(letter) or self._step(state, letter)
@@ -207,8 +208,9 @@ def _words_of(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Learns terms and weights from at most ``sample`` labelled rows outside the held-out fold.
 
-    Words are counted on the executors; the driver gets at most ``TERMS`` terms, ``ORDINARY`` look-alikes and
-    a row of features for each sampled text. Without labels of both kinds the seeds and fixed weights stand.
+    Words are counted on the executors; the driver gets the terms, their look-alikes and a row of features for each sampled
+    text, which ``sample`` bounds: a term stands in four toxic texts of it or more. Without labels of both kinds the seeds and
+    fixed weights stand.
     """
     rows = cut(labelled_sample(docs, labels, label, FOLDS, HELD_OUT, sample, id_col, text_col))
     total = rows.agg(F.coalesce(F.sum("_y"), F.lit(0)).alias("a"), F.coalesce(F.sum(1 - F.col("_y")), F.lit(0)).alias("b")).first()
@@ -217,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # how unlikely so many toxic texts are among those with the word, if it told nothing (minus the log, at most)
     share, base = F.col("a") / (F.col("a") + F.col("b")), total["a"] / max(1, total["a"] + total["b"])
     told = F.col("a") * F.log(share / max(base, 1e-9)) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / max(1 - base, 1e-9))).otherwise(0.0)
-    terms = words.filter((F.col("a") >= 2) & (odds > 2) & (F.length("word") > 2)).withColumn("s", told).filter(F.col("s") >= TELLING).orderBy(F.desc("s"), "word").limit(TERMS).collect()
+    terms = words.filter((F.col("a") >= 2) & (odds > 2) & (F.length("word") > 2)).withColumn("s", told).filter(F.col("s") >= TELLING).orderBy(F.desc("s"), "word").collect()
     counts = {r["word"]: (float(r["a"]), float(r["b"])) for r in terms}
     for t in SEEDS:
         a, b = counts.get(t, (0.0, 0.0))
@@ -232,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield batch.filter(pa.array([bool((m := lexicon.search(w)) and m[1]) for w in batch.column(0).to_pylist()], pa.bool_()))
 
-    ordinary = words.mapInArrow(alike, words.schema).filter(F.col("b") * (total["a"] + 1) > F.col("a") * (total["b"] + 1) * 0.3).orderBy(F.desc("b"), "word").limit(ORDINARY)
+    ordinary = words.mapInArrow(alike, words.schema).filter(F.col("b") * (total["a"] + 1) > F.col("a") * (total["b"] + 1) * 0.3).orderBy("word")
     model.ordinary = [r["word"] for r in ordinary.collect()]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
