@@ -59,6 +59,25 @@ def test_odd_rows_and_empty_tables(spark, odd, empty, name):
     assert operator(empty).collect() == []
 
 
+def test_values_of_odd_rows(spark, odd):
+    """What each operator says of null, empty and blank texts, repeated rows and very long texts."""
+    got = {name: {r["doc_id"]: r for r in f(odd).collect()} for name, f in every_operator(spark).items()}
+    words = {1: 3, 2: 3, None: 3, 3: 0, 4: 0, 5: 0, 6: 20_000, 7: 20_001}
+    assert {d: got["licenses"][d]["n_words"] for d in words} == {1: 3, 2: 3, None: 3, 3: 0, 4: 0, 5: 0, 6: 20_000, 7: 20_001}
+    assert {d: got["rules"][d]["n_words"] for d in words} == {d: got["mixing"][d]["size"] for d in words} == words
+    assert all(got["rules"][d]["base_failed"] and not got["rules"][d]["kept"] for d in (None, 1, 2, 3, 4, 5, 8)) and got["rules"][6]["kept"]
+    assert [got["bpe"][d]["n_tokens"] for d in (3, 4, 5, 1, 2, None)] == [0, 0, 0, 3, 3, 3] and got["bpe"][3]["ids"] == got["bpe"][5]["decoded"] == ""
+    assert {got["simhash"][d]["fingerprint"] for d in (3, 4, 5)} == {"0" * 16} and {got["simhash"][d]["component_id"] for d in (3, 4, 5)} == {3}
+    assert {got["simhash"][d]["component_id"] for d in (1, 2, None)} == {1}
+    size = len(LONG.encode())
+    assert [[tuple(s) for s in got["suffix"][d]["spans"]] for d in (6, 7, 1, 3)] == [[(0, size)], [(0, size)], [], []]
+    assert bytes(got["suffix"][7]["kept"]) == b" end" and [got["suffix"][d]["repeats_passage"] for d in (6, 7, 1, 3)] == [True, True, False, False]
+    assert len({got["toxicity"][d]["score"] for d in (3, 4, 5)}) == 1 and got["toxicity"][1]["predicted"] == 0
+    assert len({got["quality"][d]["score"] for d in (3, 4)}) == 1
+    empty_size = {d: got["mixing"][d]["taken"] for d in (3, 4, 5)}
+    assert empty_size == {3: 0, 4: 0, 5: 0} and all(r["taken"] <= 3 * r["size"] for r in got["mixing"].values())
+
+
 def test_exact_dedup_of_odd_rows(odd):
     rows = exact_dedup.exact_dedup(odd, k=2, carry=["kept"]).select("doc_id", "keep_id", "group_size").collect()
     groups = sorted((r["keep_id"], r["group_size"]) for r in rows)
@@ -67,6 +86,37 @@ def test_exact_dedup_of_odd_rows(odd):
     assert tied == [(2, 2), (2, 2)] and exact_dedup.exact_dedup(odd.filter("doc_id = 2")).filter("kept").count() == 1
 
 
+def test_exact_dedup_keeps_one_of_ties(spark):
+    rows = [(None, "x"), (None, "x"), (5, "y"), (5, "y"), (4, "y"), (4, "y"), (None, None), (None, "")] + [(i, "hot  text") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    for k in (1, 8, 1024):
+        got = exact_dedup.exact_dedup(df, k=k).collect()
+        assert len(got) == len(rows)
+        kept = sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["kept"]), key=repr)
+        assert kept == sorted([(None, None, 2), (4, 4, 4), (None, None, 2), (100, 100, 300)], key=repr)
+
+
+def test_rows_without_ids_are_spread_over_the_mix(spark):
+    df = spark.createDataFrame([(None, f"t{i} word", "s") for i in range(400)] + [(1, "a b", "t")], "doc_id bigint, text string, source string")
+    rows = mixing.mix_sources(df.repartition(3)).select("source", "before", "taken").collect()
+    assert sorted(r["before"] for r in rows if r["source"] == "s") == list(range(0, 800, 2)) and sum(r["taken"] for r in rows) == 802
+    again = mixing.mix_sources(df.repartition(5), carry=["text"]).select("text", "before").collect()
+    first = {r["text"]: r["before"] for r in mixing.mix_sources(df, carry=["text"]).select("text", "before").collect()}
+    assert {r["text"]: r["before"] for r in again} == first
+
+
+def test_shards_stay_bounded_however_many_fingerprints(spark):
+    """Trees fitted to a few fingerprints, and as many again that have one half in common."""
+    n, shard = 120_000, 2000
+    df = spark.range(n, numPartitions=4).select(F.when(F.col("id") % 6 == 0, F.shiftleft(F.pmod(F.xxhash64("id"), F.lit(1 << 31)), 32) + 77).otherwise(F.xxhash64("id")).alias("fp")).distinct()
+    dealt, _ = simhash.deal(df, df.count(), 3, shard, 64)
+    groups = dealt.groupBy("leaf", "path", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).collect()
+    assert sum(r["homes"] for r in groups) == 2 * df.count()
+    assert max(r["homes"] for r in groups) <= 4.5 * shard
+    alone = [r["n"] for r in groups if r["homes"] < 2 * shard]
+    assert len(alone) > 50 and max(alone) < 25 * shard
+
+
 def test_misra_gries(spark):
     rng = random.Random(5)
     keys = [b"hot"] * 500 + [b"warm"] * 200 + [b"%d" % i for i in range(300)]
@@ -152,6 +202,16 @@ def test_chat_parts_and_round_trip(spark):
     assert chat.format_chat(df.filter("false"), "conv", parts_col="parts").collect() == []
 
 
+def test_chat_of_tied_repeated_and_long_turns(spark):
+    """Other columns may have the names that are made here; turns that tie go by role and body, repeated ones stay."""
+    long = "x<|im_end|>&" * 50_000
+    rows = [(7, 2, "user", "b", "m", "f"), (7, 2, "user", "a", "m", "f"), (7, 2, "assistant", "z", None, "f"), (7, 3, "user", "again", "m", "f"), (7, 3, "user", "again", "m", "f"), (7, 9, "assistant", long, "m", None)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, mask string, formatted string").repartition(3)
+    one = chat.format_chat(df).withColumns(chat.read_back()).first()
+    assert [(t["role"], t["text"]) for t in one["turns"]] == [("assistant", "z"), ("user", "a"), ("user", "b"), ("user", "again"), ("user", "again"), ("assistant", long)]
+    assert one["loss_text"] == "z" + long and chat.format_chat(df.filter("false")).collect() == []
+
+
 def test_license_diagonals(spark, tmp_path):
     notice = licenses.TEMPLATES["mit-text"].split()
     broken = " ".join(notice[:12] + ["really"] + notice[12:])
@@ -167,6 +227,27 @@ def test_license_diagonals(spark, tmp_path):
     assert (got[4]["n_words"], got[4]["first_word"], got[4]["score"]) == (0, None, 0.0)
 
 
+def test_a_license_is_verified_by_different_places_of_its_template(spark, tmp_path):
+    rng = random.Random(12)
+    fill = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    whole = licenses.TEMPLATES["mit-license"].split()
+    drifted = [w for i, w in enumerate(whole) for w in ([w] if i % 17 else [w, "really", "truly"])]
+    rows = [
+        (1, "apache license version " * 4), (2, "apache license version " * 2000), (3, "the apache license " * 6), (4, "CC BY NC " * 3),
+        (5, f"{fill(50)} {' '.join(whole)} {fill(50)} {' '.join(whole)}"), (6, f"{fill(9)} {' '.join(drifted)}"),
+        (7, f"{'permission is hereby ' * 40} {' '.join(whole)}"), (8, " ".join(whole[:70])),
+    ]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(path)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.read.parquet(path)).collect()}
+    assert [got[i]["labels"] for i in (1, 2, 3)] == [""] * 3 and got[1]["score"] == got[2]["score"] == pytest.approx(1 / 6) and got[3]["score"] == pytest.approx(1 / 6)
+    assert got[4]["labels"] == "cc-by" and max(s["share"] for s in got[4]["spans"] if s["name"] == "cc-by-nc") == pytest.approx(1 / 5)
+    assert {"mit-license", "mit-text"} <= set(got[5]["labels"].split(",")) and got[5]["score"] == 1.0
+    assert "mit-license" in got[6]["labels"] and "mit-license" in got[7]["labels"] and got[8]["labels"] == "mit-text"
+    full = [s for s in got[5]["spans"] if s["name"] == "mit-license" and s["share"] == 1.0]
+    assert sorted({(s["lo"], s["hi"]) for s in full}) == [(50, 49 + len(whole)), (100 + len(whole), 99 + 2 * len(whole))]
+
+
 def near(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
@@ -279,12 +360,15 @@ def test_bradley_terry_orders_pairs():
     assert w[0] > 0.5 and abs(w[1]) < 0.4
 
 
-def test_robust_estimates_ignore_outliers(spark):
+def test_robust_estimates_ignore_outliers(spark, monkeypatch):
     rng = np.random.default_rng(2)
     cov = np.array([[1.0, 0.5, 0], [0.5, 1.0, 0], [0, 0, 0.25]])
     x = np.vstack([rng.multivariate_normal([1, 2, 3], cov, 1700), rng.normal([30, -20, 9], 1, (300, 3))])
     df = spark.createDataFrame([("p", *map(float, r)) for r in x], "pool string, x1 double, x2 double, x3 double").repartition(3)
     e = rules.robust_estimates(df).first()
     assert np.allclose([e["m0"], e["m1"], e["m2"]], [1, 2, 3], atol=0.15)
+    monkeypatch.setattr(rules, "FEW", 0)  # dealt by salt
+    other = rules.robust_estimates(df.repartition(5)).first().asDict()
+    assert all(other[c] == pytest.approx(v, rel=1e-6, abs=1e-9) for c, v in e.asDict().items() if c != "pool")
     scaled = np.array([[e["c00"], e["c01"]], [e["c01"], e["c11"]]]) * e["scale"]
     assert np.allclose(scaled, cov[:2, :2], atol=0.3)
