@@ -113,10 +113,10 @@ def _with_pools(rows: DataFrame, pools: DataFrame, on: list[str], n: int, how: s
     return rows.join(pools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"], how)
 
 
-def robust_estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 20, floor: float = 1e-4) -> DataFrame:
+def robust_estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 10, floor: float = 1e-4) -> DataFrame:
     """``pool, m0.., c00.., scale``: the minimum-covariance-determinant estimate of each pool of ``rows`` (``pool, x1, x2, x3``).
 
-    Both starts go on until no pool's determinant changes by a thousandth, ``most_steps`` at most. A column ``salt`` below ``SALTS``
+    Both starts go on until no pool's determinant changes by a hundredth, ``most_steps`` at most. A column ``salt`` below ``SALTS``
     that a retried task gives again deals the rows of a pool; without it, it is made from the vector. A step is one pass: rows are
     joined with their pool's estimate and summed by bin of distance, and sums are added up to the bin that has the share.
     """
@@ -150,7 +150,7 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 20,
         inside = bins.withColumn("ahead", ahead).withColumn("all", all_).filter(F.col("ahead") < F.col("all") * share)
         sums = inside.groupBy("pool", "start").agg(*(F.sum(c).alias(c) for c in SUMS), F.max("was").alias("was"))
         estimate = cut(_estimated(sums, ["pool", "start"], floor, "was").withColumn("volume", F.log(_determinant())))
-        if (estimate.agg(F.max(F.abs(F.col("volume") - F.col("was")))).first()[0] or 0.0) < 1e-3:
+        if (estimate.agg(F.max(F.abs(F.col("volume") - F.col("was")))).first()[0] or 0.0) < 0.01:
             break
     best = Window.partitionBy("pool").orderBy(F.round("volume", 3), "start")
     estimate = cut(estimate.withColumn("best", F.row_number().over(best)).filter("best = 1").drop("best", "volume", "was", "start"))

@@ -36,10 +36,11 @@ def with_repeat_words(df: DataFrame, ws: str, name: str) -> DataFrame:
     Words are hashed once and windows by the hashes of their words, so two windows count as equal if 64 bits are.
     Windows are sorted by hash with their places, those equal to a neighbour are put back in order of place, and each
     adds the words up to the next one, eight at most. Only texts with equal windows are sorted. Each step is
-    a column of its own, as a lambda would compute again for every element what it refers to.
+    a column of its own that is used more than once, as Catalyst merges a column that is used once into its use, and a lambda
+    computes again for every element what it refers to.
     """
     h, windows, equal, in_order, places = (F.col(f"{name}_{x}") for x in "hwesp")
-    starts = F.when(F.size(ws) >= WINDOW, F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(F.size(h) >= WINDOW, F.sequence(F.lit(1), F.size(h) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
     same = lambda e, i: F.coalesce(F.get(in_order, i)["x"] == e["x"], F.lit(False))
     twice = F.transform(in_order, lambda e, i: F.when(same(e, i - 1) | same(e, i + 1), e["i"]))
     covered = F.aggregate(

@@ -1,12 +1,13 @@
 """General interfaces: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from runmerge.llm import bpe, chat, components, exact_dedup, licenses, mixing, quality, rules, simhash, suffix_dedup, toxicity
+from runmerge.llm import bpe, chat, components, exact_dedup, licenses, mixing, quality, rules, simhash, stats, suffix_dedup, toxicity
 from tokenizers import Tokenizer
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, score double, kept string, _row string, fp string, size string, row string"
@@ -360,6 +361,22 @@ def test_bradley_terry_orders_pairs():
     assert w[0] > 0.5 and abs(w[1]) < 0.4
 
 
+def test_no_lambda_computes_an_array_anew_for_each_element(spark):
+    """A text of many words must cost in proportion: what lambdas refer to has to be a column of the plan."""
+    df = spark.createDataFrame([("a b",)], "text string").repartition(1).withColumn("ws", stats.words(F.col("text")))
+    plan = stats.with_repeat_words(df, "ws", "n")._jdf.queryExecution().optimizedPlan().toString()
+    for outer, inner in (("slice(", "transform("), ("get(", "sort_array("), ("get(", "transform(")):
+        for line in plan.split("\n"):
+            at = line.find(f"{outer}")
+            while at >= 0:
+                assert not line[at + len(outer) :].startswith(inner), line
+                at = line.find(outer, at + 1)
+    long = " ".join(f"w{i % 30_000}" for i in range(60_000))
+    began = time.monotonic()
+    got = rules.base_statistics(spark.createDataFrame([(long,)], "text string"), "text", []).first()
+    assert got["n_words"] == got["n_repeat_words"] == 60_000 and time.monotonic() - began < 60
+
+
 def test_robust_estimates_ignore_outliers(spark, monkeypatch):
     rng = np.random.default_rng(2)
     cov = np.array([[1.0, 0.5, 0], [0.5, 1.0, 0], [0, 0, 0.25]])
