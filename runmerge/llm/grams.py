@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from .anchors import polynomial_hashes
 
-BATCH = 1 << 20  # bytes of text that are taken at a time
+BATCH = 1 << 18  # bytes of text that are taken at a time
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 

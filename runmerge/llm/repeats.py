@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 1 << 20  # entries that are sorted at a time
+CHUNK = 1 << 19  # entries that are sorted at a time
 RANGE = 1 << 18  # entries of a range, about, and of the rows that are gathered together
 GIVEN = np.uint32(1 << 31)  # set in the value of an entry that is passed on whether repeated or not
 _WITNESS = np.uint32(0xFFFFFFFF)

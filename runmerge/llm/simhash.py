@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 from .grams import portions, word_grams
 from .repeats import GIVEN, repeated
@@ -374,7 +374,8 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
     rows = docs.select(F.col(key_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     entries, finish = (lambda batch: distinct_shingles(batch.column("text"), width)), (lambda k, h, v: prefixes(k, h, v, similarity))
-    found = cut(repeated(rows, entries, finish, "key bigint, n bigint, hashes binary, hash bigint, other bigint", size // 6))
+    with small_batches(docs.sparkSession):
+        found = cut(repeated(rows, entries, finish, "key bigint, n bigint, hashes binary, hash bigint, other bigint", size // 6))
     heads = found.filter("hash is not null").select("hash", "key")
     least = heads.groupBy("hash").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("hash").alias("h"), "v")
     links = heads.join(least, F.col("hash") == F.col("h")).select(F.col("key").alias("u"), "v")

@@ -52,20 +52,22 @@ def every_operator(spark):
     }
 
 
+@pytest.fixture(scope="module")
+def of_odd(spark, odd):
+    return {name: f(odd).collect() for name, f in every_operator(spark).items()}
+
+
 @pytest.mark.parametrize("name", ["suffix", "bpe", "licenses", "toxicity", "exact", "quality", "simhash", "rules", "mixing"])
-def test_odd_rows_and_empty_tables(spark, odd, empty, name):
-    operator = every_operator(spark)[name]
-    rows = operator(odd).collect()
-    assert sorted(r["doc_id"] or -1 for r in rows) == sorted(r[0] or -1 for r in ROWS)
-    assert operator(empty).collect() == []
+def test_odd_rows_and_empty_tables(spark, of_odd, empty, name):
+    assert sorted(r["doc_id"] or -1 for r in of_odd[name]) == sorted(r[0] or -1 for r in ROWS)
+    assert every_operator(spark)[name](empty).collect() == []
 
 
-def test_values_of_odd_rows(spark, odd):
+def test_values_of_odd_rows(of_odd):
     """What each operator says of null, empty and blank texts, repeated rows and very long texts."""
-    got = {name: {r["doc_id"]: r for r in f(odd).collect()} for name, f in every_operator(spark).items()}
+    got = {name: {r["doc_id"]: r for r in rows} for name, rows in of_odd.items()}
     words = {1: 3, 2: 3, None: 3, 3: 0, 4: 0, 5: 0, 6: 20_000, 7: 20_001}
-    assert {d: got["licenses"][d]["n_words"] for d in words} == {1: 3, 2: 3, None: 3, 3: 0, 4: 0, 5: 0, 6: 20_000, 7: 20_001}
-    assert {d: got["rules"][d]["n_words"] for d in words} == {d: got["mixing"][d]["size"] for d in words} == words
+    assert {d: got["licenses"][d]["n_words"] for d in words} == {d: got["rules"][d]["n_words"] for d in words} == {d: got["mixing"][d]["size"] for d in words} == words
     assert all(got["rules"][d]["base_failed"] and not got["rules"][d]["kept"] for d in (None, 1, 2, 3, 4, 5, 8)) and got["rules"][6]["kept"]
     assert [got["bpe"][d]["n_tokens"] for d in (3, 4, 5, 1, 2, None)] == [0, 0, 0, 3, 3, 3] and got["bpe"][3]["ids"] == got["bpe"][5]["decoded"] == ""
     assert {got["simhash"][d]["fingerprint"] for d in (3, 4, 5)} == {"0" * 16} and {got["simhash"][d]["component_id"] for d in (3, 4, 5)} == {3}
