@@ -195,6 +195,11 @@ class Bpe:
             found = [f for f in found if f[0]]
         return sum(map(_COUNT, found)), " ".join(map(_IDS, found)), " ".join(map(_DECODED, found))
 
+    def forget(self) -> None:
+        """Empties the cache of pieces, so that its memory serves what the worker does next; words stay known."""
+        self.cache.clear()
+        self.cache.old = {}
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_text(text)[1].split()]
 
@@ -264,6 +269,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", carry:
                     carried = batch.slice(at, row + 1 - at).columns[1:]
                     yield pa.RecordBatch.from_arrays([*carried, pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], columns)
                     at, size, counts, ids, decoded = row + 1, 0, [], [], []
+        bpe.forget()
 
     out = rows.mapInArrow(apply, schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(carry, names, strict=True)), *new)
