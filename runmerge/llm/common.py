@@ -19,29 +19,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """``df`` computed once, with its lineage cut by a reliable checkpoint.
 
-    It goes to the shared folder, which is set for the session if it isn't yet.
+    It goes to the shared folder, which is set for the session if it isn't yet. With ``free``, the shuffle files that
+    it was computed through are deleted once it is written; Spark else keeps them for as long as the driver may refer to them.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if not free:
+        return df.checkpoint()
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint()  # the setting is taken when a DataFrame is made
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Jobs that run within pass ``rows`` rows at a time to Python, so that batches of long texts take less memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run within pass ``rows`` rows at a time to Python, so that batches of long texts take less memory on both sides."""
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
+        yield
+
+
 def whole(text_col: str) -> Column:
     """The text of a row; null counts as empty."""
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))

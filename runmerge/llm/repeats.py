@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 CHUNK = 1 << 19  # entries that are sorted at a time
 RANGE = 1 << 18  # entries of a range, about, and of the rows that are gathered together
 GIVEN = np.uint32(1 << 31)  # set in the value of an entry that is passed on whether repeated or not
+COMMON = np.uint32(1 << 30)  # the count of a hash that some chunk has more than OFTEN times
+OFTEN = 16
 _WITNESS = np.uint32(0xFFFFFFFF)
 _COLUMNS = ("hashes", "keys", "values")
 _KINDS = (np.dtype(np.uint64), np.dtype(np.int64), np.dtype(np.uint32))
@@ -36,10 +38,11 @@ def _unpack(parts: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
 
 
 def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of hashes in order: which are the first of equal ones, and which have an equal."""
+    """Of hashes in order: which are the first of equal ones, and how many equal ones each has, itself included."""
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
-    return new, ~(new & np.append(new[1:], True)[: len(h)])
+    n = np.diff(np.append(np.flatnonzero(new), len(h)))
+    return new, np.repeat(n, n)
 
 
 def _dealt(entries: Entries, to: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
@@ -62,14 +65,18 @@ def _by_bucket(entries: Entries, n: int) -> tuple[list[int], list[list[bytes]]]:
     return _dealt(tuple(x[order] for x in entries), to[order])
 
 
-def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterable[Entries]], finish: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, expected: int) -> DataFrame:
+def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterable[Entries]], finish: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: str, expected: int, counted: bool = False) -> DataFrame:
     """What ``finish`` makes of the repeated entries of ``rows``, whose first column is ``key bigint``.
 
     ``entries`` yields, for a batch of rows, arrays of place in the batch, hash and value (below 2^31, or with ``GIVEN``); a row
     may give a hash several times. ``finish`` gets keys, hashes and values of all repeated and given entries of
     some rows, all those of a row at once, in order of key and value. ``expected`` is the number of entries, about; it
     sets how many ranges there are.
+
+    With ``counted``, the value of a repeated entry becomes the number of entries with its hash, the same for all of them: the
+    exact one, or ``COMMON`` for a hash that any chunk has more than ``OFTEN`` times. Only such hashes then go straight on.
     """
+    least = OFTEN if counted else 1
     bits = max(5, ceil(log2(max(1.0, expected / RANGE))))
     ranges = 1 << bits
 
@@ -80,13 +87,16 @@ def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterable[Entri
         h, k, v = (x[~given] for x in (h, k, v))
         order = np.argsort(h, kind="stable")
         h, k, v = h[order], k[order], v[order]
-        new, twice = _runs(h)
-        once, witness = ~twice, np.flatnonzero(twice & new)
-        k, v, passed = k.copy(), v.copy(), [np.concatenate([p, x[twice]]) for p, x in zip(passed, (h, k, v), strict=True)]
+        new, n = _runs(h)
+        known = n > least
+        once, witness = ~known, np.flatnonzero(known & new)
+        if counted:
+            v = np.where(known, COMMON, v)
+        k, v, passed = k.copy(), v.copy(), [np.concatenate([p, x[known]]) for p, x in zip(passed, (h, k, v), strict=True)]
         k[witness], v[witness], once[witness] = 0, _WITNESS, True
         to, packed = _dealt((h[once], k[once], v[once]), (h[once] >> np.uint64(64 - bits)).astype(np.int64))
-        known, more = _by_bucket(tuple(passed), ranges)
-        return pa.RecordBatch.from_arrays([pa.array([*to, *(-1 - b for b in known)], pa.int32()), *(pa.array(a + b, pa.binary()) for a, b in zip(packed, more, strict=True))], ["part", *_COLUMNS])
+        straight, more = _by_bucket(tuple(passed), ranges)
+        return pa.RecordBatch.from_arrays([pa.array([*to, *(-1 - b for b in straight)], pa.int32()), *(pa.array(a + b, pa.binary()) for a, b in zip(packed, more, strict=True))], ["part", *_COLUMNS])
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -106,8 +116,13 @@ def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterable[Entri
         part = group.column("part")[0].as_py()
         if part >= 0:
             order = np.argsort(h, kind="stable")
-            found = order[_runs(h[order])[1]]
-            found = found[v[found] != _WITNESS]
+            h, k, v = h[order], k[order], v[order]
+            new, n = _runs(h)
+            if counted and len(h):
+                common = np.repeat(np.logical_or.reduceat(v == _WITNESS, np.flatnonzero(new)), n[new])
+                counts = np.where(common, COMMON, np.minimum(n, COMMON - 1)).astype(np.uint32)
+                v = np.where(v == _WITNESS, v, counts)
+            found = (n > 1) & (v != _WITNESS)
             h, k, v = h[found], k[found], v[found]
         to, packed = _by_bucket((h, k, v), ranges)
         return pa.table([pa.array(to, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", *_COLUMNS])

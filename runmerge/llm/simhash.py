@@ -283,13 +283,13 @@ def distinct_shingles(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray,
 def prefixes(keys: np.ndarray, hashes: np.ndarray, values: np.ndarray, similarity: float) -> pa.Table:
     """The texts that may have a near copy, with their shared shingles, and what links them to others.
 
-    Shingles are put in order, those of one text only before those that several have, else by hash. Two texts that are
-    alike have a shingle in common among the first n - ceil(similarity n) + 1 of each. So a text with that many
+    Shingles are put in order by the number of texts that have them (``values``), then by hash: rare ones link few texts, while what many
+    unrelated texts quote would link nearly all of a large table to one another. Two texts that are alike have a shingle in common among the first n - ceil(similarity n) + 1 of each. So a text with that many
     shingles of its own has no near copy; of the others, those with a shared shingle in these places are linked.
     ``key, n, hashes`` are rows of texts, ``key, other`` links between texts that have met here, ``hash, key`` one text for each hash.
     """
     given = values >= GIVEN
-    order = np.lexsort([hashes, given, keys])
+    order = np.lexsort([hashes, values, keys])  # what is given, of high value, comes last
     keys, hashes, values, given = keys[order], hashes[order], values[order], given[order]
     sizes = (values[given] & ~GIVEN).astype(np.int64)
     ends = np.flatnonzero(given)
@@ -367,27 +367,27 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
     closed under links. A fingerprint of 64 bits can't tell that: at 0.8 it differs in ten bits or so, as many as
     vantage points can't prune. So shingles are compared themselves, by 64-bit hashes, and no link is lost but by an equal hash
     of different shingles. What is shared is found by ``repeated``; ``prefixes`` leaves the texts that can have a near copy
-    and links them to components that have all members of a group; within them texts are compared by their shared
-    shingles; a component of more than ``together`` shingles is dealt to tasks by pairs of its parts. Keys must be unique and
+    and links them to components (trees) that have all members of a group; within them texts are compared by their shared
+    shingles; a tree of more than ``together`` shingles is dealt to tasks in parts. Keys must be unique and
     not null. A null text counts as empty; empty texts are copies of one another.
     """
     rows = docs.select(F.col(key_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     entries, finish = (lambda batch: distinct_shingles(batch.column("text"), width)), (lambda k, h, v: prefixes(k, h, v, similarity))
     with small_batches(docs.sparkSession):
-        found = cut(repeated(rows, entries, finish, "key bigint, n bigint, hashes binary, hash bigint, other bigint", size // 6))
+        found = cut(repeated(rows, entries, finish, "key bigint, n bigint, hashes binary, hash bigint, other bigint", size // 6, counted=True), free=True)
     heads = found.filter("hash is not null").select("hash", "key")
     least = heads.groupBy("hash").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("hash").alias("h"), "v")
     links = heads.join(least, F.col("hash") == F.col("h")).select(F.col("key").alias("u"), "v")
     tree = components(links.unionByName(found.filter("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v"))))
 
+    members = tree.select(F.col("u").alias("key"), F.col("v").alias("tree")).unionByName(tree.select(F.col("v").alias("key"), F.col("v").alias("tree")).distinct())
     sets = found.filter("hashes is not null").select("key", "n", "hashes")
-    members = tree.select(F.col("u").alias("key"), F.col("v").alias("tree")).unionByName(tree.select(F.col("v").alias("key"), F.col("v").alias("tree")).distinct()).join(sets, "key")
-    return linked_members(cut(members), similarity, together)
+    return linked_members(members, sets, similarity, together)
 
 
-def linked_members(members: DataFrame, similarity: float, together: int) -> DataFrame:
-    """``u, v``: for each text but the first of its group, its key and the first one's, of ``members`` (``key, tree, n, hashes``).
+def linked_members(members: DataFrame, sets: DataFrame, similarity: float, together: int) -> DataFrame:
+    """``u, v``: for each text but the first of its group, its key and the first one's, of ``members`` (``key, tree``) with ``sets`` (``key, n, hashes``).
 
     Texts of a tree are compared in parts of about ``together`` shingles. That is all for a tree of one part. In a larger one
     the first texts of the groups found so far are compared with one another, by pairs of parts; mostly that leaves one group.
@@ -407,18 +407,20 @@ def linked_members(members: DataFrame, similarity: float, together: int) -> Data
         return rows.select("key", "n", "hashes", "tree", *by).groupBy("tree", *by).applyInArrow(verify, "u bigint, v bigint")
 
     def parted(rows: DataFrame, part: str) -> DataFrame:
-        """``rows`` with a part for each, and how many parts its tree has."""
-        number = rows.groupBy("tree").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * together)).cast("int").alias(f"{part}s"))
+        """``rows`` (with ``bytes`` of their hashes) with a part for each, and how many parts its tree has."""
+        number = rows.groupBy("tree").agg(F.ceil(F.sum("bytes") / (8 * together)).cast("int").alias(f"{part}s"))
         return rows.join(number, "tree").withColumn(part, F.pmod(F.xxhash64("key"), F.col(f"{part}s")).cast("int"))
 
     def grouped(links: DataFrame) -> DataFrame:
         return links.select(F.col("u").alias("key"), F.col("v").alias("first"))
 
-    members = parted(members, "part")
-    links = cut(compared(members, "part"))
-    large = members.filter("parts > 1")
-    if large.isEmpty():
+    # parts are dealt without the hashes, which are shuffled to the keys and on to the parts only
+    members = cut(parted(members.join(sets.select("key", "n", F.octet_length("hashes").alias("bytes")), "key"), "part"))
+    whole = members.drop("n").join(sets, "key")
+    links = cut(compared(whole, "part"), free=True)
+    if members.filter("parts > 1").isEmpty():
         return links
+    large = cut(whole.filter("parts > 1"), free=True)
     firsts = parted(large.drop("part", "parts").join(links.select(F.col("u").alias("key")), "key", "left_anti"), "i")
     # each part meets every other one, or itself if it is all
     pairs = firsts.withColumn("j", F.explode(F.expr("filter(sequence(0, `is` - 1), j -> `is` = 1 or j != i)")))
@@ -427,7 +429,7 @@ def linked_members(members: DataFrame, similarity: float, together: int) -> Data
     of_group = cut(large.join(grouped(links), "key", "left").withColumn("first", F.coalesce("first", "key")))
     sizes = of_group.groupBy("tree", "first").agg(F.sum("n").alias("size"))
     largest = sizes.groupBy("tree").agg(F.max_by("first", F.struct("size", "first")).alias("largest"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("tree", "largest")
-    outside = of_group.join(largest, "tree").filter("first != largest").select("key", "tree", "n", "hashes", "parts")
+    outside = of_group.join(largest, "tree").filter("first != largest").select("key", "tree", "n", "hashes", "bytes", "parts")
     if outside.isEmpty():
         return links
     outside = parted(outside, "piece").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -121,3 +122,65 @@ def test_near_copies_of_the_documents_against_brute_force(spark, sf):
     wanted = {k: find(k) for k in sets if find(k) != k}
     assert len(wanted) > 10
     assert {r["u"]: r["v"] for r in simhash.near_copies(rows, "_row").collect()} == wanted
+
+
+def trees_of(monkeypatch):
+    """What ``near_copies`` compares within, gathered as it runs."""
+    seen, compare = [], simhash.linked_members
+    monkeypatch.setattr(simhash, "linked_members", lambda members, *more: (seen.extend(members.collect()), compare(members, *more))[1])
+    return seen
+
+
+def test_shared_passages_do_not_link_the_table_to_one_tree(spark, monkeypatch):
+    """Near copies in pairs, of which each quotes passages that many others quote: trees are the pairs, however many there are."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages, rows = [words(30) for _ in range(20)], []
+    for i in range(300):
+        text = words(80) + sum((rng.choice(passages) for _ in range(3)), [])
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "tail"]))]
+    seen = trees_of(monkeypatch)
+    got = {r["u"]: r["v"] for r in simhash.near_copies(spark.createDataFrame(rows, "k bigint, text string"), "k").collect()}
+    assert got == {2 * i + 1: 2 * i for i in range(300)}
+    assert max(Counter(r["tree"] for r in seen).values()) == 2
+
+
+@pytest.mark.parametrize("chunk", [40, 1 << 20])
+def test_counted_entries_carry_the_number_of_their_hash(spark, monkeypatch, chunk):
+    words = {f"t{n}": n for n in (1, 2, 3, 16, 17, 60)}
+    rows = [(k, " ".join(w for w, n in words.items() if k < n)) for k in range(60)]
+
+    def entries(batch):
+        for i, t in enumerate(batch.column("text")):
+            ws = t.as_py().decode().split()
+            yield np.full(len(ws), i), np.array([hash_of(w) for w in ws], np.uint64), np.zeros(len(ws), np.uint32)
+
+    def finish(keys, hashes, values):
+        return pa.table({"key": keys, "h": hashes.view(np.int64), "v": values.astype(np.int64)})
+
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    df = spark.createDataFrame(rows, "key bigint, text string").select("key", F.col("text").cast("binary").alias("text")).coalesce(1)
+    found = repeats.repeated(df, entries, finish, "key bigint, h bigint, v bigint", 500, counted=True).collect()
+    by_hash = {}
+    for r in found:
+        by_hash.setdefault(r["h"], []).append(r["v"])
+    for w, n in words.items():
+        values = by_hash.get(int(np.uint64(hash_of(w)).view(np.int64)), [])
+        assert len(values) == (n if n > 1 else 0) and len(set(values)) <= 1
+        if 1 < n <= repeats.OFTEN:
+            assert values[0] == n
+        if n > repeats.OFTEN and chunk > 1000:
+            assert values[0] == repeats.COMMON
+
+
+def test_a_cut_table_leaves_no_shuffle_files(spark):
+    from runmerge.llm.common import cut
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    kept = cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), free=True)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and kept.count() == 7
