@@ -321,10 +321,11 @@ def prefixes(keys: np.ndarray, hashes: np.ndarray, values: np.ndarray, similarit
     return pa.table([pa.chunked_array(x) for x in columns], ["key", "n", "hashes", "hash", "other"]).combine_chunks()
 
 
-def link_alike(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> np.ndarray:
+def link_alike(sets: list[np.ndarray], sizes: np.ndarray, similarity: float, known: np.ndarray | None = None) -> np.ndarray:
     """For each set, the least of those that it is linked to by chains of sets that are alike, counted exactly.
 
-    ``sets`` has the members that a set may share with others, ``sizes`` how many it has in all.
+    ``sets`` has the members that a set may share with others, ``sizes`` how many it has in all. Sets with the same number in
+    ``known`` are linked already and are not compared with one another.
     """
     order = np.argsort(sizes, kind="stable")
     by_size = sizes[order]
@@ -332,11 +333,20 @@ def link_alike(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) ->
     of = np.split(numbers, np.cumsum([len(s) for s in sets])[:-1])
     mark, root, left = np.zeros(len(numbers) + 1, bool), np.arange(len(sets)), np.ones(len(sets), bool)
     tokens, starts = _laid_out([of[i] for i in order])
+    group = np.arange(len(order)) if known is None else np.unique(known[order], return_inverse=True)[1]
+    by_group = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[by_group], np.arange(len(order) + 1))
+
+    def also(at: np.ndarray) -> list[int]:
+        """Places of the sets in the groups of those at ``at``, which are left no more."""
+        found = np.concatenate([by_group[bounds[g] : bounds[g + 1]] for g in np.unique(group[at])])
+        left[found] = False
+        return found.tolist()
+
     for first in range(len(order)):
         if not left[first]:
             continue
-        left[first] = False
-        tree = [first]  # places in order; grows
+        tree = also(np.array([first]))  # places in order; grows
         for me in tree:
             lo, hi = np.searchsorted(by_size, [by_size[me] * similarity - 1e-6, by_size[me] / similarity + 1e-6])
             at = lo + np.flatnonzero(left[lo:hi])
@@ -349,8 +359,8 @@ def link_alike(sets: list[np.ndarray], sizes: np.ndarray, similarity: float) ->
                 both = np.array([np.count_nonzero(mark[of[order[i]]]) for i in at])
             mark[of[order[me]]] = False
             alike = at[both >= similarity * (by_size[me] + by_size[at] - both) - 1e-9]
-            left[alike] = False
-            tree += alike.tolist()
+            if len(alike):
+                tree += also(alike)
         root[order[tree]] = order[tree].min()
     return root
 
@@ -364,9 +374,10 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
     """``u, v``: for each text that is a near copy but its group's first by key, its key and that first one.
 
     Near copies have ``similarity`` or more of their distinct shingles of ``width`` words in common; groups are
-    closed under links. A fingerprint of 64 bits can't tell that: at 0.8 it differs in ten bits or so, as many as
-    vantage points can't prune. So shingles are compared themselves, by 64-bit hashes, and no link is lost but by an equal hash
-    of different shingles. What is shared is found by ``repeated``; ``prefixes`` leaves the texts that can have a near copy
+    closed under links. All texts go through ``simhash_groups``: those whose fingerprints its vantage-point trees link are compared
+    first, by their shingles. A fingerprint of 64 bits can't tell all: at 0.8 it differs in ten bits or so, as many as
+    vantage points can't prune. So there is an exact way for the rest, and no link is lost but by an equal 64-bit hash
+    of different shingles: what is shared is found by ``repeated``; ``prefixes`` leaves the texts that can have a near copy
     and links them to components (trees) that have all members of a group; within them texts are compared by their shared
     shingles; a tree of more than ``together`` shingles is dealt to tasks in parts. Keys must be unique and
     not null. A null text counts as empty; empty texts are copies of one another.
@@ -375,6 +386,7 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     entries, finish = (lambda batch: distinct_shingles(batch.column("text"), width)), (lambda k, h, v: prefixes(k, h, v, similarity))
     with small_batches(docs.sparkSession):
+        near = cut(simhash_groups(rows, "key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("near")), free=True)
         found = cut(repeated(rows, entries, finish, "key bigint, n bigint, hashes binary, hash bigint, other bigint", size // 6, counted=True), free=True)
     heads = found.filter("hash is not null").select("hash", "key")
     least = heads.groupBy("hash").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("hash").alias("h"), "v")
@@ -383,13 +395,14 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", width: in
 
     members = tree.select(F.col("u").alias("key"), F.col("v").alias("tree")).unionByName(tree.select(F.col("v").alias("key"), F.col("v").alias("tree")).distinct())
     sets = found.filter("hashes is not null").select("key", "n", "hashes")
-    return linked_members(members, sets, similarity, together)
+    return linked_members(members.join(near, "key"), sets, similarity, together)
 
 
 def linked_members(members: DataFrame, sets: DataFrame, similarity: float, together: int) -> DataFrame:
-    """``u, v``: for each text but the first of its group, its key and the first one's, of ``members`` (``key, tree``) with ``sets`` (``key, n, hashes``).
+    """``u, v``: for each text but the first of its group, its key and the first one's, of ``members`` (``key, tree, near``) with ``sets`` (``key, n, hashes``).
 
-    Texts of a tree are compared in parts of about ``together`` shingles. That is all for a tree of one part. In a larger one
+    Texts of a tree are compared in parts of about ``together`` shingles: first those that fingerprints link (of one ``near``), which are
+    dealt to one part unless they are too many, then all of the part. That is all for a tree of one part. In a larger one
     the first texts of the groups found so far are compared with one another, by pairs of parts; mostly that leaves one group.
     Where it doesn't, all texts outside a tree's largest group are compared with all its parts: what a tree of copies costs
     grows with its texts, not with their pairs.
@@ -397,19 +410,27 @@ def linked_members(members: DataFrame, sets: DataFrame, similarity: float, toget
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.sort_by("key")
-        keys = group.column("key").to_numpy()
+        keys, near = group.column("key").to_numpy(), group.column("near").to_numpy()
         sets = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("hashes")]
-        roots = link_alike(sets, group.column("n").to_numpy(), similarity)
+        sizes, roots = group.column("n").to_numpy(), np.arange(len(keys))
+        order = np.argsort(near, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
+            if len(some) > 1:
+                roots[some] = some[link_alike([sets[i] for i in some], sizes[some], similarity)]
+        roots = link_alike(sets, sizes, similarity, roots)
         linked = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"u": keys[linked], "v": keys[roots[linked]]})
 
     def compared(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.select("key", "n", "hashes", "tree", *by).groupBy("tree", *by).applyInArrow(verify, "u bigint, v bigint")
+        return rows.select("key", "near", "n", "hashes", "tree", *by).groupBy("tree", *by).applyInArrow(verify, "u bigint, v bigint")
 
     def parted(rows: DataFrame, part: str) -> DataFrame:
         """``rows`` (with ``bytes`` of their hashes) with a part for each, and how many parts its tree has."""
-        number = rows.groupBy("tree").agg(F.ceil(F.sum("bytes") / (8 * together)).cast("int").alias(f"{part}s"))
-        return rows.join(number, "tree").withColumn(part, F.pmod(F.xxhash64("key"), F.col(f"{part}s")).cast("int"))
+        n = lambda: F.ceil(F.sum("bytes") / (8 * together)).cast("int")
+        number = rows.groupBy("tree").agg(n().alias(f"{part}s"))
+        pieces = rows.groupBy("tree", "near").agg(n().alias("_pieces"))
+        dealt = F.pmod(F.xxhash64("near", F.pmod(F.xxhash64("key"), F.col("_pieces"))), F.col(f"{part}s")).cast("int")
+        return rows.join(number, "tree").join(pieces, ["tree", "near"]).withColumn(part, dealt).drop("_pieces")
 
     def grouped(links: DataFrame) -> DataFrame:
         return links.select(F.col("u").alias("key"), F.col("v").alias("first"))
@@ -429,12 +450,12 @@ def linked_members(members: DataFrame, sets: DataFrame, similarity: float, toget
     of_group = cut(large.join(grouped(links), "key", "left").withColumn("first", F.coalesce("first", "key")))
     sizes = of_group.groupBy("tree", "first").agg(F.sum("n").alias("size"))
     largest = sizes.groupBy("tree").agg(F.max_by("first", F.struct("size", "first")).alias("largest"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("tree", "largest")
-    outside = of_group.join(largest, "tree").filter("first != largest").select("key", "tree", "n", "hashes", "bytes", "parts")
+    outside = of_group.join(largest, "tree").filter("first != largest").select("key", "near", "tree", "n", "hashes", "bytes", "parts")
     if outside.isEmpty():
         return links
     outside = parted(outside, "piece").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pieces = outside.select("tree", "pieces").distinct()
     inside = of_group.join(pieces, "tree").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    columns = ["key", "n", "hashes", "tree", "part", "piece"]
+    columns = ["key", "near", "n", "hashes", "tree", "part", "piece"]
     across = compared(inside.select(columns).unionByName(outside.select(columns)), "part", "piece")
     return components(links.unionByName(across))

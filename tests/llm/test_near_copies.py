@@ -184,3 +184,25 @@ def test_a_cut_table_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert files() <= before and kept.count() == 7
+
+
+def test_texts_that_fingerprints_link_are_compared_first(spark, monkeypatch):
+    """Near copies go through the vantage-point trees of SimHash, whose groups deal them to parts; what they link is checked."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 400, 8)] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(50)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(df, "k").collect()}
+    seen = trees_of(monkeypatch)
+    got = {r["u"]: r["v"] for r in simhash.near_copies(df, "k", together=1500).collect()}
+    assert got == {i: 0 for i in range(1, 50)}
+    assert {r["key"] for r in seen} == set(range(50)) and all(r["near"] == groups[r["key"]] for r in seen)
+    assert len({r["near"] for r in seen}) < 50
+
+
+def test_known_groups_are_kept_and_grow():
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 5, 300, 10, 305, 900)]
+    sizes = np.full(len(sets), 100)
+    assert simhash.link_alike(sets, sizes, 0.8).tolist() == [0, 0, 2, 0, 2, 5]
+    assert simhash.link_alike(sets, sizes, 0.8, np.array([0, 1, 0, 3, 4, 5])).tolist() == [0, 0, 0, 0, 0, 5]
+    assert simhash.link_alike(sets, sizes, 0.8, np.array([0, 1, 2, 3, 4, 3])).tolist() == [0, 0, 2, 0, 2, 0]
